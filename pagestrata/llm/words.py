@@ -72,15 +72,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, at: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words of `data`, and the first word of each text.
 
-    `at`: offsets of the texts in `data`, from 0 to len(data).
+    `at`: offsets of the texts in `data`, from 0 to len(data). `separator`: by byte.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    gap = _SEPARATOR[data]
+    gap = separator[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[at] = True
     before = np.ones(n, dtype=bool)
