@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contaminated
 from .language_id import languages
 from .licenses import license_scan
 from .mixing import mixed
 from .ngram_join import ngram_components
 from .pii import span_digest
+from .quality import quality
 from .token_counts import token_histogram
 from .url_filter import judged
 from .warc import archived
@@ -22,6 +24,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +64,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_benchmark_decontamination,
+        op3_quality_rules,
         op4_language_id,
         op5_token_counts,
         op6_license_scans,
