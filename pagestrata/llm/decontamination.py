@@ -61,6 +61,29 @@ def _item_seeds(items: DataFrame, short: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _around(words: Column, at: Column) -> Column:
+    """The words within WINDOW - 1 of a position; null beyond either end."""
+    return F.transform(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW - 1)), lambda k: F.get(words, at + k))
+
+
+def _best(one: Column, other: Column, n: Column) -> Column:
+    """The most equal pairs of a window over two `_around`, the item's length n for a
+    short item that is met whole, else 0."""
+    same = F.zip_with(one, other, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("long"))
+    # bit 2 * WINDOW - 2 is the first pair, bit WINDOW - 1 the pair at the position itself
+    flags = F.aggregate(same, F.lit(0).cast("long"), lambda bits, e: bits * 2 + e)
+
+    def judged(bits: Column) -> Column:
+        full = F.lit((1 << WINDOW) - 1).cast("long")
+        most = F.greatest(*(F.bit_count(F.shiftright(bits, k).bitwiseAND(full)) for k in range(WINDOW)))
+        ahead = F.substring(F.lpad(F.conv(bits.cast("string"), 10, 2), 2 * WINDOW - 1, "0"), WINDOW, WINDOW)
+        whole = F.substring(ahead, F.lit(1), n) == F.repeat(F.lit("1"), n)
+        return F.when(n >= WINDOW, F.when(most >= LEAST, most).otherwise(0)).when(whole, n).otherwise(0)
+
+    # evaluates the flags once
+    return F.get(F.transform(F.array(flags), judged), F.lit(0))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_match): a row per pair of a document and an item that overlap.
 
@@ -77,8 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = sorted(r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
     seeds = written(_item_seeds(items, short).distinct(), "seeds")
     found = _positions(docs.select("doc_id", words_of(F.col("text")).alias("words")), short)
-    reach = range(1 - WINDOW, WINDOW)
-    around = F.array(*(F.get("words", F.col("pos") + k) for k in reach))
+    around = _around(F.col("words"), F.col("pos"))
     if seeds.count() <= BROADCAST_SEEDS:
         hits = found.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "j", "n", around.alias("around"))
     else:
@@ -91,14 +113,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         thin = found.where(set_).select("doc_id", "seed", around.alias("around"))
         hits = thin.join(seeds, "seed").select("doc_id", "item_id", "j", "n", "around")
     hits = hits.join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    same = [F.coalesce(F.get("around", F.lit(k + WINDOW - 1)) == F.get("item", F.col("j") + k), F.lit(False)) for k in reach]
-    flags = reduce(lambda a, b: a.bitwiseOR(b), [F.when(s, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, s in enumerate(same)])
-    hits = hits.select("doc_id", "item_id", "n", flags.alias("flags"))
-    inside = [F.bit_count(F.shiftright("flags", k).bitwiseAND(F.lit((1 << WINDOW) - 1).cast("long"))) for k in range(WINDOW)]
-    whole = F.shiftright("flags", WINDOW - 1).bitwiseAND(F.expr("shiftleft(1L, n) - 1")) == F.expr("shiftleft(1L, n) - 1")
-    match = F.when(F.col("n") >= WINDOW, F.greatest(*inside)).when(whole, F.col("n")).otherwise(0)
-    found = hits.select("doc_id", "item_id", "n", match.cast("long").alias("n_match"))
-    found = found.where((F.col("n_match") >= LEAST) | ((F.col("n") < WINDOW) & (F.col("n_match") == F.col("n"))))
+    match = _best(F.col("around"), _around(F.col("item"), F.col("j")), F.col("n"))
+    found = hits.select("doc_id", "item_id", match.cast("long").alias("n_match")).where("n_match > 0")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_match").alias("n_match"))
 
 
