@@ -1,4 +1,8 @@
-"""The training-data pipeline over `documents`."""
+"""The training-data pipeline over `documents`, in five stages.
+
+Each stage takes all rows that the one before kept, read back from Parquet; all but the
+last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import ngram_join
+from pagestrata.llm import decontamination, language_id, mixing, ngram_join, pii
 from pagestrata.llm.store import shared_folder
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not recognised go (no letters, or a posterior below 0.5)."""
+    return language_id.recognised(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: that with the smallest doc_id."""
     return ngram_join.keep_first(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by tags; n_chars follows."""
+    return pii.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with size, source_size, target and the words that the mix takes."""
+    return mixing.with_shares(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("redact", redact),
+    ("mix", mix),
+]
+
+#: SQL can't express the byte model of the first stage; tests hold all stages against brute force.
 ORACLE_SQL = None
 
 

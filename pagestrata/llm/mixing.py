@@ -13,6 +13,7 @@ totals), so that no task holds a whole source, however large.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,7 +120,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Per row of `docs`: doc_id, size, source_size, target (of its source) and taken.
+    """Per row of `docs`: doc_id, source, size, source_size, target (of its source) and taken.
 
     taken: words of the document that the mix takes, repeats counted; never above `most`
     times its size. Null and empty texts have size 0 and are not taken. Null sources are a
@@ -130,4 +131,27 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     taken = mix.pieces.join(mix.slots.select("sid", "block"), ["sid", "block"]).groupBy("uid").agg(F.sum("words").alias("taken"))
     by_source = mix.sources.select(F.col("source").alias("s"), "source_size", F.col("target").cast("double"))
     found = mix.sizes.join(by_source, F.col("source").eqNullSafe(F.col("s"))).join(taken, "uid", "left")
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def with_shares(docs: DataFrame) -> DataFrame:
+    """`docs` with size, source_size, target and taken as in `mixed` (names that clash are
+    replaced).
+
+    Rows are met again by doc_id; where doc_ids repeat, by doc_id, source, size and number,
+    so that each row keeps a share of its own.
+    """
+    added = ["size", "source_size", "target", "taken"]
+    docs = docs.drop(*added)
+    shares = written(mixed(docs).select("doc_id", "source", *added), "shares")
+    if shares.groupBy("doc_id").count().where("count > 1").isEmpty():
+        same = ["doc_id"]
+    else:
+        same = ["doc_id", "source", "size", "__n"]
+        window = Window.partitionBy(*same[:3])
+        shares = shares.withColumn("__n", F.row_number().over(window.orderBy("taken")))
+        docs = docs.withColumn("size", n_words(F.col("text"))).withColumn("__n", F.row_number().over(window.orderBy("text")))
+    named = shares.select(*(F.col(c).alias(f"__{c}") for c in same), *(c for c in added if c not in same))
+    met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same])
+    found = docs.join(named, met)
+    return found.drop("__n", *(f"__{c}" for c in same))

@@ -49,7 +49,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(_table(spark, sf_dir, "documents"))
+    return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
