@@ -139,7 +139,7 @@ def json_export(spark, sf_dir):
     whole = F.struct(*plan.BLOCKS)
     return blocks.select(*_AT, "id", block_json(whole).alias("json")).select(
         "document_id", "page_number", "id", F.get_json_object("json", "$.block_type").alias("block_type"),
-        F.get_json_object("json", "$.source.document_path").alias("path"), F.get_json_object("json", "$.level").cast("long").alias("level"),
+        F.get_json_object("json", "$.source.document_path").alias("path"), F.coalesce(F.get_json_object("json", "$.level").cast("long"), F.lit(0)).alias("level"),
         F.get_json_object("json", "$.is_page_furniture").alias("furniture"), F.size(F.expr("json_object_keys(json)")).cast("long").alias("n_keys"),
     )
 
@@ -153,7 +153,8 @@ def markdown_export(spark, sf_dir):
 def block_type_rollup(spark, sf_dir):
     blocks = plan.analyzed(_raw(spark, sf_dir)).select(*_AT, "block_type")
     n = [F.grouping(c).cast("long").alias(f"all_{k}") for c, k in (("page_number", "pages"), ("block_type", "types"))]
-    return blocks.rollup("page_number", "block_type").agg(F.count("*").alias("n_blocks"), F.countDistinct("document_id").alias("n_documents"), *n)
+    found = blocks.rollup("page_number", "block_type").agg(F.count("*").alias("n_blocks"), F.countDistinct("document_id").alias("n_documents"), *n)
+    return found.fillna({"page_number": 0, "block_type": "all"})
 
 
 def turns_as_blocks(spark, sf_dir):
