@@ -185,7 +185,8 @@ def with_headings(texts: DataFrame) -> DataFrame:
     partitioned by page needs no exchange.
     """
     detected = F.coalesce("normalized_text", "text")
-    block = F.struct(*texts.columns)
+    # the page stays outside the struct: what follows keeps its partitioning
+    block = F.struct(*(c for c in texts.columns if c not in (*PAGE, "block_index")))
     rows = texts.select(*PAGE, "block_index", block.alias("block"), F.when(~F.col("is_page_furniture"), detected).alias("detected"))
     rows = rows.withColumn("contents", is_contents_table(F.col("detected")))
     pieces = F.concat(F.array(F.col("detected")), F.split("detected", LINE_END))
@@ -196,7 +197,7 @@ def with_headings(texts: DataFrame) -> DataFrame:
     rows = rows.select(*PAGE, "block_index", "block", F.when(kept, piece).alias("found"))
     rows = rows.groupBy(*PAGE, "block_index").agg(F.first("block").alias("block"), F.sort_array(F.collect_list("found")).alias("found"))
     first = F.filter("found", lambda x, k: ~F.exists(F.slice("found", 1, k), lambda y: F.lower(y["ws"]) == F.lower(x["ws"])))
-    rows = rows.select("block", first.alias("found"))
+    rows = rows.select(*PAGE, "block_index", "block", first.alias("found"))
     whole_first = F.coalesce(F.get("found", F.lit(0))["at"] == 0, F.lit(False))
 
     def named(x: Column, k: Column) -> Column:
@@ -211,7 +212,7 @@ def with_headings(texts: DataFrame) -> DataFrame:
             x["ws"].alias("ws"),
         )
 
-    return rows.select("block.*", F.transform("found", named).alias("own_headings"))
+    return rows.select(*PAGE, "block_index", "block.*", F.transform("found", named).alias("own_headings"))
 
 
 def heading_blocks(texts: DataFrame) -> DataFrame:
