@@ -24,6 +24,7 @@ Equal sets are one point: copies cost one row each, and no pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,11 @@ class Sets:
 
 def joined(sizes: np.ndarray, counts: list[np.ndarray], sets: Sets, linked: Callable[[int, int], bool]) -> None:
     """Joins in `sets` all members connected by pairs that may link and are `linked`."""
+    if len(sizes) <= LEAF // 2:
+        for i, j in combinations(range(len(sizes)), 2):
+            if sets.root(i) != sets.root(j) and may_link(int(sizes[i]), counts[i], int(sizes[j]), counts[j]) and linked(i, j):
+                sets.join(i, j)
+        return
     step = np.log(1.25)
     level = np.floor(np.log(sizes) / step + 1e-9).astype(int)
     for at in np.unique(level):
@@ -434,7 +440,10 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     placed = shared.select("key", "n", "fp").join(near.toDF("fp", "comp"), "fp", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "fp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    # cells with the same members (the shingles of a shared passage) are one cell
+    alike = [F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), *alike)
+    mixed = mixed.where("lo <> hi").groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).select("key")
     mixed = written(_blocked(placed.join(mixed, "key"), "key", block), "mixed").join(counts, "fp")
     more = written(_by_group(mixed, ["key", "i", "j"], _searched, "a long, b long").distinct(), "more")
     if not more.isEmpty():
