@@ -131,6 +131,21 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_
 
 OP3 = _op3()
 
+_PLAIN = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10ffff}}]+')"
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+n(license, t) AS (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'), ('MIT', 'Released under the MIT License.')),
+k AS (SELECT license, {_PLAIN.format('t')} AS w FROM n),
+p AS (SELECT license, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS s FROM k),
+r AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS r FROM d),
+c AS (SELECT doc_id, license, r, s, unnest(range(1, greatest(len(r) - len(s), 0) + 2)) AS o FROM r JOIN p ON len(list_intersect(r, s)) >= 0.8 * len(list_distinct(s))),
+h AS (SELECT doc_id, license, o - 1 AS at_word, len(list_intersect(s, r[o:o + len(s) - 1])) / len(list_distinct(s))::DOUBLE AS containment FROM c)
+SELECT doc_id, license, at_word, containment FROM h WHERE containment >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, at_word) = 1
+"""
+
 OP7 = """
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -148,6 +163,7 @@ ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1,
     "op2_benchmark_decontamination": OP2,
     "op3_quality_rules": OP3,
+    "op6_license_scans": OP6,
     "op7_url_filters": OP7,
     "op8_mixing": OP8,
     "op9_warc": OP9,
