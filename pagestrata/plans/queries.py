@@ -15,7 +15,10 @@ from ..sources.readers import blocks_of_html, blocks_of_turns
 from ..sources.synthetic import blocks_of_orders, metadata_of_orders
 from . import document as plan
 
-_AT = [F.col("document_id"), F.col("page_number").cast("long").alias("page_number")]
+
+def _at() -> list:
+    # columns need a session, which importing must not
+    return [F.col("document_id"), F.col("page_number").cast("long").alias("page_number")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,20 +57,20 @@ def keywords_split(spark, sf_dir):
 
 
 def raw_blocks_scan(spark, sf_dir):
-    return _texts(spark, sf_dir).select(*_AT, "id", *_long("block_index"), "normalized_text")
+    return _texts(spark, sf_dir).select(*_at(), "id", *_long("block_index"), "normalized_text")
 
 
 def page_ocr_status(spark, sf_dir):
-    return plan.page_status(_raw(spark, sf_dir)).select(*_AT, "width", "height", "has_native_text", "requires_ocr")
+    return plan.page_status(_raw(spark, sf_dir)).select(*_at(), "width", "height", "has_native_text", "requires_ocr")
 
 
 def furniture_flags(spark, sf_dir):
-    return _texts(spark, sf_dir).select(*_AT, "id", *FLAGS)
+    return _texts(spark, sf_dir).select(*_at(), "id", *FLAGS)
 
 
 def furniture_summary(spark, sf_dir):
     n = [F.sum(F.col(f).cast("long")).alias(f"n_{f[8:]}") for f in FLAGS]
-    return _texts(spark, sf_dir).groupBy(_AT[1]).agg(F.count("*").alias("n_blocks"), *n)
+    return _texts(spark, sf_dir).groupBy(_at()[1]).agg(F.count("*").alias("n_blocks"), *n)
 
 
 def _judged(spark, sf_dir):
@@ -75,45 +78,45 @@ def _judged(spark, sf_dir):
 
 
 def heading_predicate(spark, sf_dir):
-    return _judged(spark, sf_dir).select(*_AT, "id", F.col("h_is_heading").alias("is_heading"), F.col("h_reason").alias("reason"))
+    return _judged(spark, sf_dir).select(*_at(), "id", F.col("h_is_heading").alias("is_heading"), F.col("h_reason").alias("reason"))
 
 
 def heading_levels(spark, sf_dir):
-    return _judged(spark, sf_dir).where("h_is_heading").select(*_AT, "id", F.col("h_level").cast("long").alias("level"), F.col("h_number").alias("number"))
+    return _judged(spark, sf_dir).where("h_is_heading").select(*_at(), "id", F.col("h_level").cast("long").alias("level"), F.col("h_number").alias("number"))
 
 
 def heading_lines(spark, sf_dir):
-    return heading_blocks(_texts(spark, sf_dir)).select(*_AT, "id", *_long("block_index", "sub_index", "level"), "text", "normalized_text")
+    return heading_blocks(_texts(spark, sf_dir)).select(*_at(), "id", *_long("block_index", "sub_index", "level"), "text", "normalized_text")
 
 
 def toc_blocks(spark, sf_dir):
-    return _texts(spark, sf_dir).select(*_AT, "id", is_contents_table(plan.fallback_text()).alias("is_contents"))
+    return _texts(spark, sf_dir).select(*_at(), "id", is_contents_table(plan.fallback_text()).alias("is_contents"))
 
 
 def paragraph_blocks(spark, sf_dir):
     found = plan.of_kind(plan.analyzed(_raw(spark, sf_dir)), "paragraph")
-    return found.select(*_AT, "id", "normalized_text", F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
+    return found.select(*_at(), "id", "normalized_text", F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
 
 
 def figure_blocks(spark, sf_dir):
     found = plan.of_kind(plan.analyzed(_raw(spark, sf_dir)), "figure")
-    return found.select(*_AT, "id", "caption", F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
+    return found.select(*_at(), "id", "caption", F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
 
 
 def table_reject_reasons(spark, sf_dir):
     found = table_features(_judged(spark, sf_dir), plan.fallback_text())
-    return found.select(*_AT, "id", F.col("t_reject_reason").alias("reject_reason"), F.col("t_evidence").alias("evidence"), F.col("t_is_candidate").alias("is_candidate"))
+    return found.select(*_at(), "id", F.col("t_reject_reason").alias("reject_reason"), F.col("t_evidence").alias("evidence"), F.col("t_is_candidate").alias("is_candidate"))
 
 
 def table_candidates(spark, sf_dir):
     found = plan.of_kind(plan.analyzed(_raw(spark, sf_dir)), "table")
     cells = F.array_join(F.flatten("rows"), "|")
-    return found.select(*_AT, "id", cells.alias("cells"), F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
+    return found.select(*_at(), "id", cells.alias("cells"), F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
 
 
 def figure_context_join(spark, sf_dir):
     rows = plan.in_context(_texts(spark, sf_dir)).where("is_body and t_is_candidate")
-    return rows.select(*_AT, "id", F.col("t_figure_internal").alias("figure_internal"), F.size("figures").cast("long").alias("n_figures"), "suppressed")
+    return rows.select(*_at(), "id", F.col("t_figure_internal").alias("figure_internal"), F.size("figures").cast("long").alias("n_figures"), "suppressed")
 
 
 def prose_features_documents(spark, sf_dir):
@@ -125,19 +128,19 @@ def prose_features_documents(spark, sf_dir):
 
 
 def page_block_order(spark, sf_dir):
-    return plan.ordered(plan.analyzed(_raw(spark, sf_dir))).select(*_AT, *_long("position"), "block_type", "id")
+    return plan.ordered(plan.analyzed(_raw(spark, sf_dir))).select(*_at(), *_long("position"), "block_type", "id")
 
 
 def lineage_join(spark, sf_dir):
     found = plan.lineage(plan.analyzed(_raw(spark, sf_dir)))
     name = F.regexp_extract("document_path", "/library/(.*)[.]pdf", 1).alias("document_id")
-    return found.select(name, _AT[1], "id", "block_type", "text_id", "source_text")
+    return found.select(name, _at()[1], "id", "block_type", "text_id", "source_text")
 
 
 def json_export(spark, sf_dir):
     blocks = plan.analyzed(_raw(spark, sf_dir))
     whole = F.struct(*plan.BLOCKS)
-    return blocks.select(*_AT, "id", block_json(whole).alias("json")).select(
+    return blocks.select(*_at(), "id", block_json(whole).alias("json")).select(
         "document_id", "page_number", "id", F.get_json_object("json", "$.block_type").alias("block_type"),
         F.get_json_object("json", "$.source.document_path").alias("path"), F.coalesce(F.get_json_object("json", "$.level").cast("long"), F.lit(0)).alias("level"),
         F.get_json_object("json", "$.is_page_furniture").alias("furniture"), F.size(F.expr("json_object_keys(json)")).cast("long").alias("n_keys"),
@@ -147,11 +150,11 @@ def json_export(spark, sf_dir):
 def markdown_export(spark, sf_dir):
     pages = plan.pages(_raw(spark, sf_dir))
     fields = F.struct("page_number", "has_native_text", "requires_ocr", "text_blocks")
-    return pages.select(*_AT, F.array_join(page_lines(fields), "\n").alias("markdown"))
+    return pages.select(*_at(), F.array_join(page_lines(fields), "\n").alias("markdown"))
 
 
 def block_type_rollup(spark, sf_dir):
-    blocks = plan.analyzed(_raw(spark, sf_dir)).select(*_AT, "block_type")
+    blocks = plan.analyzed(_raw(spark, sf_dir)).select(*_at(), "block_type")
     n = [F.grouping(c).cast("long").alias(f"all_{k}") for c, k in (("page_number", "pages"), ("block_type", "types"))]
     found = blocks.rollup("page_number", "block_type").agg(F.count("*").alias("n_blocks"), F.countDistinct("document_id").alias("n_documents"), *n)
     return found.fillna({"page_number": 0, "block_type": "all"})
