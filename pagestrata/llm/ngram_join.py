@@ -10,7 +10,7 @@ Distribution. The root level of the tree deals points to cells: a set enters
 the cells of its first |S| - ceil(0.8 |S|) + 1 shingles in a fixed order, and two
 sets with Jaccard similarity 0.8 or more always share a cell. In the order,
 shingles found in many sets come last (a bitmap of fixed size says which; it is
-counted over all documents and only the cost depends on it, never the result),
+counted over all documents, and only the cost depends on it, never the result),
 so a passage that a third of all documents share makes no cell of its size.
 Within a cell, members are first compared with the cell's smallest member, which
 joins the members of large groups with one comparison each; only cells that
@@ -37,9 +37,12 @@ from .words import mix, shingle_sets
 
 #: Cells of more members than this are moved to the end of the order.
 COMMON = 24
-HOT_BITS = 24
+HOT_BITS = 26
+MOST_COMMON = 1 << (HOT_BITS - 4)
 LIVE_BITS = 26
 BLOCK = 8192
+#: Members of a cell that a task holds at once.
+CELL_ROWS = 8192
 LEAF, FANOUT = 32, 16
 
 
@@ -225,49 +228,60 @@ def _keys(common: np.ndarray | None) -> Callable:
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, n, fp): the members of cells with two sets or more, each
-    with the cell's first member. Streams; keeps one row between batches."""
-    last: tuple[int, int, int] | None = None
-    first: tuple[int, int] = (0, 0)
-    shown = False
-    for batch in batches:
-        key, n, fp = (batch.column(c).to_numpy() for c in ("key", "n", "fp"))
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of two sets or more, a row each, from rows sorted by (key, n, fp).
+
+    s1 and s2 identify the members, so that cells with the same members (the shingles of a
+    shared passage) become one. A cell beyond CELL_ROWS is cut into parts that all begin
+    with its first member and keep the cell's own key; no more than that is held.
+    """
+    held = [np.zeros(0, dtype=np.int64) for _ in range(3)]
+    part = 0
+
+    def rows(starts: np.ndarray, key: np.ndarray, n: np.ndarray, fp: np.ndarray, parts: list[int] | None = None) -> pa.RecordBatch:
+        lengths = np.diff(starts)
+        members = mix(fp.view(np.uint64) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        s1, s2 = np.add.reduceat(members, starts[:-1]), np.bitwise_xor.reduceat(mix(members + np.uint64(1)), starts[:-1])
+        if parts is not None:
+            s1, s2 = mix(key[:1].view(np.uint64)), key[:1].view(np.uint64)
+        ends = pa.array(starts.astype(np.int32))
+        columns = [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(parts or np.zeros(len(lengths), dtype=np.int32), pa.int32())]
+        columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (n, fp)]
+        return pa.RecordBatch.from_arrays(columns, names=["s1", "s2", "part", "ns", "fps"])
+
+    def whole(last: bool) -> Iterator[pa.RecordBatch]:
+        """Emits all runs held, but for the last one unless no rows follow."""
+        nonlocal held, part
+        key, n, fp = held
         if not len(key):
-            continue
-        starts = np.ones(len(key), dtype=bool)
-        starts[1:] = key[1:] != key[:-1]
-        same = np.zeros(len(key), dtype=bool)
-        same[1:] = ~starts[1:] & (fp[1:] == fp[:-1]) & (n[1:] == n[:-1])
-        goes_on = last is not None and last[0] == key[0]
-        if goes_on:
-            starts[0] = False
-            same[0] = last[1:] == (n[0], fp[0])
-        run = np.cumsum(starts)
-        head = np.flatnonzero(starts)
-        # run 0 is the one carried over; 1.. start in this batch
-        pn = np.concatenate([[first[0]], n[head]])[run]
-        pfp = np.concatenate([[first[1]], fp[head]])[run]
-        rest = ~starts & ~same
-        lead = np.zeros(len(key), dtype=bool)
-        at = np.flatnonzero(rest)
-        if len(at):
-            fresh = np.ones(len(at), dtype=bool)
-            fresh[1:] = run[at[1:]] != run[at[:-1]]
-            if goes_on and shown and run[at[0]] == 0:
-                fresh[0] = False
-            lead[at[fresh]] = True
-            yield _numbers(
-                key=np.concatenate([key[rest], key[lead]]),
-                n=np.concatenate([n[rest], pn[lead]]),
-                fp=np.concatenate([fp[rest], pfp[lead]]),
-                pn=np.concatenate([pn[rest], pn[lead]]),
-                pfp=np.concatenate([pfp[rest], pfp[lead]]),
-            )
-        tail = run[-1]
-        shown = bool(rest[run == tail].any()) or (goes_on and tail == 0 and shown)
-        first = (int(pn[-1]), int(pfp[-1]))
-        last = (int(key[-1]), int(n[-1]), int(fp[-1]))
+            return
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        stop = len(key) if last else starts[-1]
+        starts = np.append(starts, len(key)) if last else starts
+        first = 0
+        if part and len(starts) > 1:  # the rest of a cell that was cut
+            first = int(starts[1])
+            if first > 1:
+                yield rows(np.array([0, first]), key[:first], n[:first], fp[:first], [part])
+            part, starts = 0, starts[1:]
+        lengths = np.diff(starts)
+        keep = np.repeat(lengths > 1, lengths)
+        if keep.any():
+            bounds = np.concatenate([[0], np.cumsum(lengths[lengths > 1])])
+            yield rows(bounds, *(x[first:stop][keep] for x in (key, n, fp)))
+        held = [x[stop:] for x in held]
+        if len(held[0]) > CELL_ROWS:
+            yield rows(np.array([0, len(held[0])]), *held, [part])
+            part += 1
+            held = [x[:1] for x in held]
+
+    for batch in batches:
+        new = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "n", "fp"), strict=True)]
+        fresh = np.ones(len(new[0]), dtype=bool)
+        fresh[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in new])
+        held = [x[fresh] for x in new]
+        yield from whole(False)
+    yield from whole(True)
 
 
 def _picked(wanted: np.ndarray, whole: bool) -> Callable:
@@ -418,16 +432,18 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     members = written(docs.mapInArrow(_members, "doc_id long, n long, fp long"), "members")
 
     cells = texts.mapInArrow(_keys(None), "key long, n long, fp long")
-    common = bitmap(
-        cells.groupBy(F.shiftrightunsigned("key", 24).alias("g")).count().where(F.col("count") > COMMON),
-        F.shiftrightunsigned("g", 40 - HOT_BITS),
-        HOT_BITS,
-    )
+    crowded = cells.groupBy(F.shiftrightunsigned("key", 24).alias("g")).count().where(F.col("count") > COMMON)
+    crowded = written(crowded, "crowded")
+    if (n := crowded.count()) > MOST_COMMON:  # the most crowded ones only: the bitmap stays sparse
+        crowded = crowded.where(F.col("count") > crowded.approxQuantile("count", [1 - MOST_COMMON / n], 1e-3)[0])
+    common = bitmap(crowded, F.shiftrightunsigned("g", 40 - HOT_BITS), HOT_BITS)
     cells = texts.mapInArrow(_keys(common), "key long, n long, fp long")
-    shared = written(
-        cells.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_shared, "key long, n long, fp long, pn long, pfp long"),
-        "cells",
-    )
+    cells = cells.repartition("key").sortWithinPartitions("key", "n", "fp")
+    cells = cells.mapInArrow(_cells, "s1 long, s2 long, part int, ns array<long>, fps array<long>")
+    cells = written(cells.groupBy("s1", "s2", "part").agg(F.first("ns").alias("ns"), F.first("fps").alias("fps")), "cells")
+    first = [F.get(c, F.lit(0)).alias(f"p{c[:-1]}") for c in ("ns", "fps")]
+    shared = cells.select(F.col("s1").alias("key"), *first, F.explode(F.arrays_zip("ns", "fps")).alias("m"))
+    shared = shared.select("key", F.col("m.ns").alias("n"), F.col("m.fps").alias("fp"), "pn", "pfp")
 
     wanted = bitmap(shared, _slot("fp"), LIVE_BITS)
     counts = written(
@@ -440,10 +456,7 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     placed = shared.select("key", "n", "fp").join(near.toDF("fp", "comp"), "fp", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "fp"))
-    # cells with the same members (the shingles of a shared passage) are one cell
-    alike = [F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), *alike)
-    mixed = mixed.where("lo <> hi").groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     mixed = written(_blocked(placed.join(mixed, "key"), "key", block), "mixed").join(counts, "fp")
     more = written(_by_group(mixed, ["key", "i", "j"], _searched, "a long, b long").distinct(), "more")
     if not more.isEmpty():
@@ -472,5 +485,6 @@ def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A row with a null doc_id is kept; of rows that repeat a kept doc_id all are kept.
     """
     found = ngram_components(docs, block)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    # written first: Spark then knows its size, and shuffles the texts only if it is large
+    dropped = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     return docs.join(dropped, "doc_id", "left_anti")
