@@ -22,14 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                edges.select("b", "b").distinct()
-            )
-        before = state
+    while not _are_stars(edges):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -42,3 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "small-star",
         )
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge up, or none and is a root (edges: a > b, distinct)."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    seen = ends.groupBy("v").agg(F.sum("up").alias("ups"), F.min("up").alias("leaf"))
+    return seen.where("ups > 1 or (ups = 1 and leaf = 0)").isEmpty()

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -119,11 +120,14 @@ def brute_overlaps(docs, items):
         d = words(text)
         for k, item in items:
             b = words(item)
-            best = 0
+            best, at = 0, {}
+            for q, w in enumerate(b):
+                at.setdefault(w, []).append(q)
             if 5 <= len(b) < 20:
                 best = len(b) if any(d[p : p + len(b)] == b for p in range(len(d))) else 0
             elif len(b) >= 20:
-                for shift in range(-len(b), len(d)):
+                shifts = Counter(p - q for p, w in enumerate(d) for q in at.get(w, ()))
+                for shift in (s for s, n in shifts.items() if n >= 17):
                     same = [0 <= p < len(d) and d[p] == b[p - shift] for p in range(shift, shift + len(b))]
                     best = max([best, *(sum(same[q : q + 20]) for q in range(len(same)))])
                 best = best if best >= 17 else 0
