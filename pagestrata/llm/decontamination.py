@@ -120,5 +120,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that overlap no item; columns stay. A null doc_id stays."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
+    # written first: Spark then knows its size, and shuffles the texts only if it is large
+    bad = written(contaminated(docs, benchmark).select("doc_id").distinct(), "bad")
     return docs.join(bad, "doc_id", "left_anti")

@@ -82,7 +82,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("uid"))
     sizes = written(sizes, "sizes")
     sources = written(targets(sizes, weights, most), "sources")
-    total, kinds, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.countDistinct(F.coalesce("source", F.lit(""))), F.count("*")).first()
+    total, kinds = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
+    rows = sizes.count()
     block = max(1, min(BLOCK, total // (SLOTS_A_SOURCE * max(kinds, 1))))
 
     # slots to sources: strips of the unit interval make the range join an equi-join
