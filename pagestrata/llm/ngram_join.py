@@ -310,7 +310,7 @@ def _picked(wanted: np.ndarray, whole: bool) -> Callable:
                 met.add(fp)
                 rows.append((fp, len(found), (found if whole else group_counts(found)).tobytes()))
                 held += len(rows[-1][2])
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield flush()
                     rows, held = [], 0
         if rows:
