@@ -6,6 +6,9 @@ which at most `WINDOW - LEAST` differ, some placement of one of them meets equal
 only (`lossless` checks it). Test and training seeds are joined, and around each hit the
 words are compared on its diagonal.
 
+Items shorter than a window are looked up whole by one seed of all their words, or, by the
+tolerant rule of `clean`, by the runs of `pieces`, of which one at least is met unchanged.
+
 DataFrame functions only: positions are exploded and hashed inside generated code, and
 the words around a position travel only with positions that hit.
 """
@@ -36,6 +39,20 @@ def lossless(masks: tuple[str, ...] = MASKS, window: int = WINDOW, least: int =
     return all(any(not seed & set(bad) for seed in placed) for bad in combinations(range(window), window - least))
 
 
+def least_equal(n: int) -> int:
+    """How many of the n aligned words of a short item must be equal by the tolerant rule."""
+    return -(-n * LEAST // WINDOW)
+
+
+def pieces(n: int) -> tuple[int, list[int]]:
+    """Length and places of runs of a short item: one more than the words that may differ.
+
+    No run shares a word with another, so that some run has no differing word.
+    """
+    runs = n - least_equal(n) + 1
+    return n // runs, [k * (n // runs) for k in range(runs)]
+
+
 def words_of(text: Column) -> Column:
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.array_remove(F.split(low, SPACE), "")
@@ -47,17 +64,20 @@ def _positions(rows: DataFrame, short: list[int]) -> DataFrame:
     rows = rows.select("*", F.posexplode(F.arrays_zip("words", *tails[1:])).alias("pos", "at"))
     word = [F.col("at")["words"], *(F.col("at")[f"w{k}"] for k in range(1, len(tails)))]
     seeds = [F.xxhash64(F.lit(m), *(word[k] for k, c in enumerate(mask) if c == "1")) for m, mask in enumerate(MASKS)]
-    # items shorter than a window are looked up whole
+    # runs of these lengths find the items shorter than a window
     seeds += [F.xxhash64(F.lit(100 + n), *word[:n]) for n in short]
     return rows.withColumn("seed", F.explode(F.array(*seeds))).drop("at")
 
 
-def _item_seeds(items: DataFrame, short: list[int]) -> DataFrame:
-    """(seed, item_id, j, n): seeds of items; short items have the one of all their words."""
+def _item_seeds(items: DataFrame, short: list[int], tolerant: bool) -> DataFrame:
+    """(seed, item_id, j, n): seeds of items; short items have the one of all their words, or
+    those of their pieces."""
     parts = [_positions(items.where(F.col("n") >= WINDOW), []).select("seed", "item_id", F.col("pos").alias("j"), "n")]
     for n in short:
-        whole = F.xxhash64(F.lit(100 + n), *(F.get("words", F.lit(k)) for k in range(n)))
-        parts.append(items.where(F.col("n") == n).select(whole.alias("seed"), "item_id", F.lit(0).alias("j"), "n"))
+        size, places = pieces(n) if tolerant else (n, [0])
+        for j in places:
+            run = F.xxhash64(F.lit(100 + size), *(F.get("words", F.lit(j + k)) for k in range(size)))
+            parts.append(items.where(F.col("n") == n).select(run.alias("seed"), "item_id", F.lit(j).alias("j"), "n"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -66,9 +86,9 @@ def _around(words: Column, at: Column) -> Column:
     return F.transform(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW - 1)), lambda k: F.get(words, at + k))
 
 
-def _best(one: Column, other: Column, n: Column) -> Column:
-    """The most equal pairs of a window over two `_around`, the item's length n for a
-    short item that is met whole, else 0."""
+def _best(one: Column, other: Column, n: Column, tolerant: bool) -> Column:
+    """The most equal pairs of a window over two `_around`; for a short item of n words its
+    equal pairs, all of them or by the tolerant rule enough; else 0."""
     same = F.zip_with(one, other, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("long"))
     # bit 2 * WINDOW - 2 is the first pair, bit WINDOW - 1 the pair at the position itself
     flags = F.aggregate(same, F.lit(0).cast("long"), lambda bits, e: bits * 2 + e)
@@ -76,6 +96,11 @@ def _best(one: Column, other: Column, n: Column) -> Column:
     def judged(bits: Column) -> Column:
         full = F.lit((1 << WINDOW) - 1).cast("long")
         most = F.greatest(*(F.bit_count(F.shiftright(bits, k).bitwiseAND(full)) for k in range(WINDOW)))
+        if tolerant:
+            # all of a short item lies around the position, and nothing else of the item does
+            equal = F.bit_count(bits)
+            enough = F.when(n >= WINDOW, most >= LEAST).otherwise(equal * WINDOW >= n * LEAST)
+            return F.when(enough, F.when(n >= WINDOW, most).otherwise(equal)).otherwise(0)
         ahead = F.substring(F.lpad(F.conv(bits.cast("string"), 10, 2), 2 * WINDOW - 1, "0"), WINDOW, WINDOW)
         whole = F.substring(ahead, F.lit(1), n) == F.repeat(F.lit("1"), n)
         return F.when(n >= WINDOW, F.when(most >= LEAST, most).otherwise(0)).when(whole, n).otherwise(0)
@@ -84,7 +109,7 @@ def _best(one: Column, other: Column, n: Column) -> Column:
     return F.get(F.transform(F.array(flags), judged), F.lit(0))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, tolerant: bool = False) -> DataFrame:
     """(doc_id, item_id, n_match): a row per pair of a document and an item that overlap.
 
     Words are runs of code points other than U+0020 and U+0009-U+000D, A-Z lower-cased. An
@@ -92,14 +117,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of `WINDOW` consecutive positions hold equal words; n_match is the most in any window.
     An item of `SHORTEST` to WINDOW - 1 words overlaps when the text holds it whole, and
     n_match is its length; shorter, empty and null items overlap nothing, as do null and
-    empty texts. Pairs are distinct, so repeated rows count once. Other columns of both
+    empty texts. By the `tolerant` rule an item of 1 to WINDOW - 1 words overlaps when on
+    some alignment `LEAST` / `WINDOW` of its words at least are equal (`least_equal`), and
+    n_match is the most that are; items of up to 6 words so overlap whole only. Pairs are distinct, so repeated rows count once. Other columns of both
     tables are ignored.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= SHORTEST)
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= (1 if tolerant else SHORTEST))
     items = written(items.withColumn("n", F.size("words")), "items")
     short = sorted(r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
-    seeds = written(_item_seeds(items, short).distinct(), "seeds")
-    found = _positions(docs.select("doc_id", words_of(F.col("text")).alias("words")), short)
+    runs = sorted({pieces(n)[0] for n in short}) if tolerant else short
+    seeds = written(_item_seeds(items, short, tolerant).distinct(), "seeds")
+    found = _positions(docs.select("doc_id", words_of(F.col("text")).alias("words")), runs)
     around = _around(F.col("words"), F.col("pos"))
     if seeds.count() <= BROADCAST_SEEDS:
         hits = found.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "j", "n", around.alias("around"))
@@ -113,13 +141,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         thin = found.where(set_).select("doc_id", "seed", around.alias("around"))
         hits = thin.join(seeds, "seed").select("doc_id", "item_id", "j", "n", "around")
     hits = hits.join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    match = _best(F.col("around"), _around(F.col("item"), F.col("j")), F.col("n"))
+    match = _best(F.col("around"), _around(F.col("item"), F.col("j")), F.col("n"), tolerant)
     found = hits.select("doc_id", "item_id", match.cast("long").alias("n_match")).where("n_match > 0")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_match").alias("n_match"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that overlap no item; columns stay. A null doc_id stays."""
+    """The rows of `docs` that overlap no item by the tolerant rule; columns stay. A null
+    doc_id stays."""
     # written first: Spark then knows its size, and shuffles the texts only if it is large
-    bad = written(contaminated(docs, benchmark).select("doc_id").distinct(), "bad")
+    bad = written(contaminated(docs, benchmark, tolerant=True).select("doc_id").distinct(), "bad")
     return docs.join(bad, "doc_id", "left_anti")

@@ -167,3 +167,33 @@ def test_clean_keeps_the_rest(spark):
     kept = decontamination.clean(hard(spark), benchmark)
     assert kept.columns == hard(spark).columns and kept.count() == hard(spark).count()
     assert decontamination.clean(hard(spark), benchmark.limit(0)).count() == hard(spark).count()
+
+
+def test_short_items_lose_a_few_words(spark):
+    rng = random.Random(4)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 20)]
+    docs, want = [], {}
+    for n, item in items:
+        for bad in range(4):
+            for at in range(6):
+                part = item.split()
+                for k in rng.sample(range(n), min(bad, n)):
+                    part[k] += "|#"
+                docs.append((len(docs), " ".join(["x"] * at + part + ["y"] * (at % 2))))
+                if 20 * (n - bad) >= 17 * n:
+                    want[len(docs) - 1, n] = n - bad
+    docs.append((len(docs), items[17][1].rsplit(" ", 1)[0]))
+    want[len(docs) - 1, 18] = 17
+    texts, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated(texts, benchmark, tolerant=True).collect()
+    assert {(r["doc_id"], r["item_id"]): r["n_match"] for r in found} == want
+    kept = {r["doc_id"] for r in decontamination.clean(texts, benchmark).collect()}
+    assert kept == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_pieces_are_lossless():
+    for n in range(1, 20):
+        size, places = decontamination.pieces(n)
+        runs = [set(range(j, j + size)) for j in places]
+        assert size >= 1 and max(map(max, runs)) < n and sum(map(len, runs)) == len(set.union(*runs))
+        assert len(runs) == n - decontamination.least_equal(n) + 1
