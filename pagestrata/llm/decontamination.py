@@ -53,8 +53,13 @@ def pieces(n: int) -> tuple[int, list[int]]:
     return n // runs, [k * (n // runs) for k in range(runs)]
 
 
-def words_of(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def words_of(text: Column, every_letter: bool = False) -> Column:
+    """Words of a text, A-Z lower-cased, or every letter (sharp s, in capitals SS, as ss)."""
+    low = F.coalesce(text, F.lit(""))
+    if every_letter:
+        low = F.replace(F.lower(low), F.lit("\u00df"), F.lit("ss"))
+    else:
+        low = F.translate(low, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.array_remove(F.split(low, SPACE), "")
 
 
@@ -119,15 +124,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tolerant: bool = False)
     n_match is its length; shorter, empty and null items overlap nothing, as do null and
     empty texts. By the `tolerant` rule an item of 1 to WINDOW - 1 words overlaps when on
     some alignment `LEAST` / `WINDOW` of its words at least are equal (`least_equal`), and
-    n_match is the most that are; items of up to 6 words so overlap whole only. Pairs are distinct, so repeated rows count once. Other columns of both
+    n_match is the most that are; items of up to 6 words so overlap whole only. That rule
+    lower-cases every letter, not A-Z only. Pairs are distinct, so repeated rows count once. Other columns of both
     tables are ignored.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= (1 if tolerant else SHORTEST))
+    items = benchmark.select("item_id", words_of(F.col("text"), tolerant).alias("words")).where(F.size("words") >= (1 if tolerant else SHORTEST))
     items = written(items.withColumn("n", F.size("words")), "items")
     short = sorted(r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
     runs = sorted({pieces(n)[0] for n in short}) if tolerant else short
     seeds = written(_item_seeds(items, short, tolerant).distinct(), "seeds")
-    found = _positions(docs.select("doc_id", words_of(F.col("text")).alias("words")), runs)
+    found = _positions(docs.select("doc_id", words_of(F.col("text"), tolerant).alias("words")), runs)
     around = _around(F.col("words"), F.col("pos"))
     if seeds.count() <= BROADCAST_SEEDS:
         hits = found.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "j", "n", around.alias("around"))

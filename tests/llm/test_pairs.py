@@ -197,3 +197,13 @@ def test_pieces_are_lossless():
         runs = [set(range(j, j + size)) for j in places]
         assert size >= 1 and max(map(max, runs)) < n and sum(map(len, runs)) == len(set.union(*runs))
         assert len(runs) == n - decontamination.least_equal(n) + 1
+
+
+def test_capitals_beyond_ascii(spark):
+    item = "\u00fcber die stra\u00dfe ging \u00e9t\u00e9 ma\u00f1ana gr\u00f6\u00dfer w\u00e4re f\u00fcr \u00e0 o\u00f9 sch\u00f6n \u03bf\u03b4\u03cc\u03c2 \u043c\u0438\u0440 a b c d e f"
+    texts = spark.createDataFrame([(1, item.upper()), (2, item), (3, "x " + item.title()), (4, "another text")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, "\u00dcBER DIE STRASSE")], "item_id long, text string")
+    found = decontamination.contaminated(texts, benchmark, tolerant=True).collect()
+    n = len(item.split())
+    assert n == 20 and {(r["doc_id"], r["item_id"]): r["n_match"] for r in found} == {(d, k): (n, 3)[k - 1] for d in (1, 2, 3) for k in (1, 2)}
+    assert [r["doc_id"] for r in decontamination.clean(texts, benchmark).collect()] == [4]
