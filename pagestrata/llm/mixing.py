@@ -1,10 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is cut into slots of equally many words. Slot t takes the golden-ratio point
-frac(t * 0.618...) through the sources' cumulative targets, so that any run of slots
-holds each source in nearly its share. Of each source the documents are shuffled (by
-digest) and laid end to end, and cut into blocks as long as a slot; the slot with rank
-r of its source takes block r modulo the number of blocks, at most three times round.
+The mix is cut into slots, of equally many words but for small sources, whose slots are
+shorter and as many more: a slot is a `PARTS`th of its source at most. Slot t takes the
+golden-ratio point frac(t * 0.618...) through the sources' cumulative slots, so that any
+run of slots holds each source in nearly its share. Of each source the documents are
+shuffled (by digest) and laid end to end, and cut into blocks as long as its slots; the
+slot with rank r of its source takes block r modulo the number of blocks, at most three
+times round.
 
 Ranks, offsets and targets are prefix sums in two levels (bounded chunks, then chunk
 totals), so that no task holds a whole source, however large.
@@ -25,6 +27,7 @@ MOST = 3
 GOLDEN = 0.6180339887498949
 BLOCK = 8192
 SLOTS_A_SOURCE = 4096
+PARTS = 256
 CHUNK = 65536
 BUCKET_ROWS = 4096
 STRIPS = 1024
@@ -38,23 +41,23 @@ def n_words(text: Column) -> Column:
 @dataclass
 class Mix:
     """sizes: a row per document (uid, doc_id, source, sid, size); sources: a row per source
-    (sid, source, source_size, target, lo, hi); slots: (slot, sid, rank, pass, block);
+    (sid, source, source_size, target, length, lo, hi, n_slots); slots: (slot, sid, rank, pass, block);
     pieces: (uid, sid, block, words), the parts of documents in each block."""
 
     sizes: DataFrame
     sources: DataFrame
     slots: DataFrame
     pieces: DataFrame
-    block: int
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Per source: its size and target (rows as many as sources).
+    """Per source: its size, target and slots (rows as many as sources).
 
     Sources in code point order, null last, have the weights in turn. Targets sum to the
     total size; none is above `most` times its source's size: the level L that fills
     min(most * size, L * weight) up to the total is the largest of the levels that the
-    sources in order of most * size / weight would need.
+    sources in order of most * size / weight would need. length is the words of a slot of
+    the source, lo to hi its part of the unit interval, n_slots the slots of all sources.
     """
     found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     named = Window.orderBy(F.col("source").asc_nulls_last())
@@ -69,11 +72,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     found = found.withColumn("level", level).withColumn("total", total)
     found = found.withColumn("target", F.least("cap", F.max("level").over(every) * F.col("weight")))
+    # slots of the usual length count their words, shorter ones as if they had as many
+    usual = F.least(F.lit(BLOCK), F.floor(F.col("total") / (SLOTS_A_SOURCE * F.count("*").over(every))))
+    found = found.withColumn("usual", F.greatest(F.lit(1), usual).cast("long"))
+    found = found.withColumn("length", F.greatest(F.lit(1), F.least("usual", F.floor(F.col("source_size") / PARTS))).cast("long"))
+    found = found.withColumn("weighed", F.col("target") * (F.col("usual") / F.col("length")))
     placed = Window.orderBy("sid")
-    share = F.coalesce(F.sum("target").over(placed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    found = found.withColumn("lo", F.when(F.col("total") > 0, share / F.col("total")).otherwise(0.0))
+    added = F.sum(F.col("weighed") - F.col("target")).over(placed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = found.withColumn("added", added)
+    share = F.coalesce(F.sum("weighed").over(placed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    found = found.withColumn("lo", F.when(F.col("total") > 0, share / (F.col("total") + F.col("added"))).otherwise(0.0))
     found = found.withColumn("hi", F.coalesce(F.lead("lo").over(placed), F.lit(2.0)))
-    return found.select("sid", "source", "source_size", "target", "lo", "hi")
+    n_slots = F.ceil((F.col("total") + F.ceil("added")) / F.col("usual")).cast("long")
+    return found.select("sid", "source", "source_size", "target", "length", "lo", "hi", n_slots.alias("n_slots"))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> Mix:
@@ -82,14 +93,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("uid"))
     sizes = written(sizes, "sizes")
     sources = written(targets(sizes, weights, most), "sources")
-    total, kinds = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
+    n_slots = sources.agg(F.coalesce(F.max("n_slots"), F.lit(0))).first()[0]
     rows = sizes.count()
-    block = max(1, min(BLOCK, total // (SLOTS_A_SOURCE * max(kinds, 1))))
 
     # slots to sources: strips of the unit interval make the range join an equi-join
-    slots = spark.range(-(-total // block)).withColumnRenamed("id", "slot").withColumn("u", (F.col("slot") * GOLDEN) % 1.0)
+    slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("u", (F.col("slot") * GOLDEN) % 1.0)
     strip = F.sequence(F.floor(F.col("lo") * STRIPS), F.floor(F.least("hi", F.lit(1.0)) * STRIPS))
-    ranges = sources.where("hi > lo and source_size > 0").select("sid", "lo", "hi", "source_size", F.explode(strip).alias("strip"))
+    ranges = sources.where("hi > lo and source_size > 0").select("sid", "lo", "hi", "source_size", "length", F.explode(strip).alias("strip"))
     slots = slots.withColumn("strip", F.floor(F.col("u") * STRIPS)).join(ranges, "strip").where("u >= lo and u < hi")
     slots = slots.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     totals = slots.groupBy("sid", "chunk").count()
@@ -97,12 +107,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     totals = totals.select("sid", "chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     slots = slots.join(totals, ["sid", "chunk"]).withColumn("rank", rank)
-    blocks = F.ceil(F.col("source_size") / block)
+    blocks = F.ceil(F.col("source_size") / F.col("length"))
     slots = slots.withColumn("pass", F.floor(F.col("rank") / blocks)).withColumn("block", F.col("rank") % blocks)
     slots = slots.where(F.col("pass") < most).select("slot", "sid", "rank", "pass", "block")
 
     # documents to places: shuffled by digest, offsets within bounded buckets
-    laid = sizes.where("size > 0").join(sources.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
+    laid = sizes.where("size > 0").join(sources.select("sid", "length", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     buckets = max(1, rows // BUCKET_ROWS)
     laid = laid.withColumn("digest", digest).withColumn(
@@ -114,10 +124,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     inside = Window.partitionBy("sid", "bucket").orderBy("digest", "doc_id", "size", "uid")
     first = F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     laid = laid.join(sums, ["sid", "bucket"]).withColumn("first", first).withColumn("last", F.col("first") + F.col("size"))
-    spread = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("last") - 1) / block))
-    pieces = laid.select("uid", "sid", "first", "last", F.explode(spread).alias("block"))
-    words = F.least("last", (F.col("block") + 1) * block) - F.greatest("first", F.col("block") * block)
-    return Mix(sizes, sources, slots, pieces.select("uid", "sid", "block", words.alias("words")), block)
+    length = F.col("length")
+    spread = F.sequence(F.floor(F.col("first") / length), F.floor((F.col("last") - 1) / length))
+    pieces = laid.select("uid", "sid", "first", "last", "length", F.explode(spread).alias("block"))
+    words = F.least("last", (F.col("block") + 1) * length) - F.greatest("first", F.col("block") * length)
+    return Mix(sizes, sources, slots, pieces.select("uid", "sid", "block", words.alias("words")))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -73,6 +73,23 @@ def test_mixing(spark):
     assert all(abs(target[s] - min(3 * size[s], level * (5, 2, 1)[k % 3])) < 1e-6 * total for k, s in enumerate(order))
 
 
+def test_small_sources_come_near_their_targets(spark, monkeypatch):
+    # a usual slot has 385 words here, more than or a large part of the small sources
+    monkeypatch.setattr(mixing, "SLOTS_A_SOURCE", 1024)
+    sizes = {"a": 700_000, "b": 7, "c": 50, "d": 250, "e": 900_000, "f": 1000, "g": 50_000, "h": 400_000, "i": 1_500_000}
+    parts = [(s, n // 50, k) for s, n in sizes.items() for k in range(50)] + [(s, n % 50, 50) for s, n in sizes.items()]
+    rows = [(f"{s}{k}", s, n) for s, n, k in parts]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, n long").select("doc_id", "source", F.repeat(F.lit("w "), F.col("n").cast("int")).alias("text"))
+    target, taken = {}, {}
+    for r in mixing.mixed(docs).collect():
+        target[r["source"]] = r["target"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    assert target["b"] == 21 and target["c"] == 150
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s] + 2, s
+
+
 def test_mixing_of_hard_rows(spark):
     assert mixing.mixed(hard(spark)).count() == len(hard_rows()) and mixing.mixed(empty(spark)).count() == 0
     shares = mixing.with_shares(hard(spark))
