@@ -188,6 +188,16 @@ def test_licenses(spark):
     assert licenses.miss_probability(2 / 3) < 1e-5
 
 
+def test_license_texts(spark):
+    mit = "Copyright 2020 X. " + next(x for n, x in licenses.TEMPLATES if n == "MIT" and "hereby" in x) + " THE SOFTWARE IS PROVIDED AS IS"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+    isc = "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    bsd = dict(licenses.TEMPLATES)["BSD-3-Clause"]
+    rows = [(1, PROSE + mit), (2, mpl), (3, isc), (4, bsd), (5, PROSE)]
+    found = {(r["doc_id"], r["license"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found - {(4, "BSD-2-Clause")} == {(1, "MIT"), (2, "MPL-2.0"), (3, "ISC"), (4, "BSD-3-Clause")}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="a.@+-0123456789 ()_%:\u00e9\n", max_size=60))
 def test_base_spans_equal_pattern_search(text):
