@@ -5,12 +5,15 @@ For each language a context tree of bytes is learned: in every context of up to
 longest known context is coded by an escape (method C: the number of distinct
 followers against all their counts plus that number), then in the next shorter
 context, and at last uniformly over 256 bytes. Statistics are frozen after
-training, so the code length of a byte depends on the bytes before it alone and
-is tabulated: a text's code length in each language is an exact integer sum
-(in 2**-16 bits) over its bytes, whatever the batches or the order.
-
-Training reads a bounded sample: of each language the `per_language` labelled
-rows with the smallest key hash. Scoring reads every whole text, streaming.
+training, so the code length of a byte depends on the bytes before it alone: a
+text's code length in each language is an exact integer sum (in 2**-16 bits) over
+its bytes, whatever the batches or the order.
+
+A tree keeps only what its language's texts hold: per order a hash table of
+(context, byte) pairs and one of contexts, so memory follows the sample, and not
+contexts x bytes x languages. Every label is learned. Training reads a bounded
+sample (`learned`) and runs on the executors, a language a task; the driver gets
+the finished tables. Scoring reads every whole text, streaming.
 """
 
 from __future__ import annotations
@@ -22,122 +25,176 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .store import released, small_batches, written
 from .words import slices, text_buffer
 
 ORDER = 3
+#: The bound of the sample: rows of a language, and bytes of their texts.
 PER_LANGUAGE = 500
-MAX_LANGUAGES = 64
+SAMPLE_BYTES = 4_000_000
 UNKNOWN = "und"
 UNIT = 1 << 16
+SLICE_BYTES = 1 << 17
 _LETTER = np.zeros(256, dtype=bool)
+_HALF, _NONE = np.uint64(1 << 32), np.uint64((1 << 64) - 1)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
+class Table:
+    """An immutable hash table of distinct 32-bit keys and costs; -1 for a key it has not.
+
+    A slot holds key and cost in one 64-bit word, so that a lookup touches memory once; the
+    low half is the cost and one more, so that 0 is an empty slot.
+    """
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slots = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.reach = 0  # steps that the farthest key is from its home
+        words = (keys.astype(np.uint64) << np.uint64(32)) | (costs.astype(np.uint64) + np.uint64(1))
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.slots[at] == 0
+            slots, one = np.unique(at[free], return_index=True)
+            self.slots[slots] = words[left[free][one]]
+            stay = np.ones(len(left), dtype=bool)
+            stay[np.flatnonzero(free)[one]] = False
+            left, at = left[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
+            self.reach += len(left) > 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Costs as int64."""
+        high = keys.astype(np.uint64) << np.uint64(32)
+        at = self._home(keys)
+        words = self.slots[at]
+        # where the keys agree the high half goes, and what is left is the cost and one more
+        costs = (words ^ high) - np.uint64(1)
+        other = costs >= _HALF
+        left = np.flatnonzero(other & (words != 0)) if self.reach else np.zeros(0, np.int64)
+        costs = np.where(other, _NONE, costs)
+        at, high = at[left], high[left]
+        for _ in range(self.reach):
+            if not len(left):
+                break
+            at = (at + np.uint32(1)) & np.uint32((1 << self.bits) - 1)
+            words = self.slots[at]
+            there = (words ^ high) - np.uint64(1)
+            same = there < _HALF
+            costs[left[same]] = there[same]
+            on = ~same & (words != 0)
+            left, at, high = left[on], at[on], high[on]
+        return costs.view(np.int64)
+
+
 @dataclass
 class Model:
-    """languages; alphabet: byte -> class (0: not in training); row_of: context -> row of
-    its longest known suffix; cost: (rows, classes, languages) code lengths in UNIT bits."""
+    """languages by name; per language and order the tables of `trained`."""
 
     languages: list[str]
-    alphabet: np.ndarray
-    size: int
-    row_of: np.ndarray
-    cost: np.ndarray
+    direct: list[list[Table]]
+    escape: list[list[Table]]
     order: int
 
 
-def _contexts(classes: np.ndarray, size: int, order: int) -> list[np.ndarray]:
-    """For each k: code of the k classes before each position (0 where the text begins)."""
-    out = [np.zeros(len(classes), dtype=np.int64)]
-    for k in range(1, order + 1):
-        before = np.zeros(len(classes), dtype=np.int64)
-        before[k:] = classes[:-k] if k < len(classes) + 1 else 0
-        out.append(out[-1] + before * size ** (k - 1))
+def _codes(data: np.ndarray, starts: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Each byte with the three before it, the nearest highest below it; 0 beyond a text's start.
+
+    starts: places where texts begin. before: bytes of the same text ahead of `data`.
+    """
+    back = 0 if before is None else len(before)
+    wide = (data if before is None else np.concatenate([before, data])).astype(np.uint32)
+    out = wide.copy()
+    for k in (1, 2, 3):
+        out[k:] |= wide[:-k] << np.uint32(8 * k)
+    for start in starts:
+        for k in range(3):
+            if start + back + k < len(out):
+                out[start + back + k] &= np.uint32((1 << (8 * (k + 1))) - 1)
+    return out[back:]
+
+
+def _low(codes: np.ndarray, n: int) -> np.ndarray:
+    """The lowest n bytes of codes."""
+    return codes & np.uint32((1 << (8 * n)) - 1)
+
+
+def trained(texts: list[str], order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order: (context, byte) codes and their costs, contexts and the costs of leaving them."""
+    data = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts if t]
+    starts = np.cumsum([0, *map(len, data)])[:-1]
+    codes = _codes(np.concatenate([np.zeros(0, np.uint8), *data]), starts)
+    out = []
+    for k in range(order + 1):
+        grams, n = np.unique(_low(codes, k + 1), return_counts=True)
+        contexts, first = np.unique(grams >> np.uint32(8), return_index=True)
+        kinds = np.diff([*first, len(grams)])
+        total = np.add.reduceat(n, first) if len(first) else n
+        direct = np.rint(np.log2(np.repeat(total + kinds, kinds) / n) * UNIT)
+        leave = np.rint(np.log2((total + kinds) / kinds) * UNIT)
+        out.append((grams, direct.astype(np.int32), contexts, leave.astype(np.int32)))
     return out
 
 
+def model_of(tables: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]], order: int = ORDER) -> Model:
+    names = sorted(tables)
+    direct = [[Table(g, c) for g, c, _, _ in tables[x]] for x in names]
+    return Model(names, direct, [[Table(x, c) for _, _, x, c in tables[name]] for name in names], order)
+
+
 def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
-    """A model of the given texts by language."""
-    languages = sorted(texts)
-    data = {lang: [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts[lang] if t] for lang in languages}
-    known = np.unique(np.concatenate([np.zeros(0, np.uint8), *(x for xs in data.values() for x in xs)]))
-    alphabet = np.zeros(256, dtype=np.int64)
-    alphabet[known] = np.arange(1, len(known) + 1)
-    size = len(known) + 1
-    # a table over all contexts must stay small: shorter contexts for large alphabets
-    while order > 1 and size**order > 1 << 24:
-        order -= 1
-    counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    for lang in languages:
-        grams: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
-        for x in data[lang]:
-            classes = alphabet[x]
-            for k, ctx in enumerate(_contexts(classes, size, order)):
-                grams[k].append(ctx * size + classes)
-        counts.append([np.unique(np.concatenate([np.zeros(0, np.int64), *g]), return_counts=True) for g in grams])
-    # rows: the contexts of each order that any language knows; row 0 is the empty one
-    rows: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
-    for k in range(1, order + 1):
-        rows.append(np.unique(np.concatenate([np.zeros(0, np.int64), *(c[k][0] // size for c in counts)])))
-    first = np.cumsum([0, *map(len, rows)])
-    cost = np.zeros((first[-1], size, len(languages)))
-    for at in range(len(languages)):
-        flat = np.full((1, size), 8.0)  # uniform over 256 bytes, below order 0
-        for k in range(order + 1):
-            gram, n = counts[at][k]
-            place = np.searchsorted(rows[k], gram // size)
-            seen = np.zeros((len(rows[k]), size))
-            seen[place, gram % size] = n
-            total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-            below = flat if k == 0 else cost[first[k - 1] : first[k], :, at][np.searchsorted(rows[k - 1], rows[k] % size ** max(0, k - 1))]
-            # a context this language has never met costs nothing to leave
-            known_row = total > 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(known_row, np.log2((total + kinds) / kinds), 0.0)
-                direct = np.log2((total + kinds) / seen)
-            cost[first[k] : first[k + 1], :, at] = np.where(seen > 0, direct, escape + below)
-    row_of = np.zeros(1, dtype=np.int32)
-    for k in range(1, order + 1):
-        longer = np.tile(row_of, size)
-        longer[rows[k]] = np.arange(first[k], first[k + 1])
-        row_of = longer
-    return Model(languages, alphabet, size, row_of, np.rint(cost * UNIT).astype(np.int32), order)
+    """A model of the given texts by language; `order` is 1 to 3."""
+    return model_of({lang: trained(own, order) for lang, own in texts.items()}, order)
+
+
+def _costs(model: Model, at: int, codes: np.ndarray) -> np.ndarray:
+    """Code lengths of bytes in one language."""
+    out = model.direct[at][model.order].get(_low(codes, model.order + 1))
+    places = np.flatnonzero(out < 0)
+    out[places], codes = 0, codes[places]
+    for k in range(model.order - 1, -1, -1):
+        if not len(places):
+            return out
+        # a context that the language has never met costs nothing to leave
+        out[places] += np.maximum(model.escape[at][k + 1].get(_low(codes >> np.uint32(8), k + 1)), 0)
+        cost = model.direct[at][k].get(_low(codes, k + 1))
+        met = cost >= 0
+        out[places[met]] += cost[met]
+        places, codes = places[~met], codes[~met]
+    out[places] += np.maximum(model.escape[at][0].get(_low(codes, 0)), 0) + 8 * UNIT
+    return out
 
 
 def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
     """(rows, languages) exact code lengths in UNIT bits; each text starts anew."""
     data, offsets = text_buffer(column)
     out = np.zeros((len(column), len(model.languages)), dtype=np.int64)
-    for a, b in slices(offsets, 1_000_000):
+    for a, b in slices(offsets, SLICE_BYTES):
         at = offsets[a : b + 1] - offsets[a]
-        for lo in range(0, int(at[-1]), 4_000_000):  # a very long text in pieces
-            hi = min(lo + 4_000_000, int(at[-1]))
-            back = min(lo, model.order)
-            classes = model.alphabet[data[offsets[a] + lo - back : offsets[a] + hi]]
-            context = np.zeros(len(classes), dtype=np.int64)
-            for k in range(1, model.order + 1):
-                before = np.zeros(len(classes), dtype=np.int64)
-                before[k:] = classes[:-k]
-                for start in at[1:-1]:  # no context reaches into the text before
-                    if lo - back < start < hi:
-                        before[start - lo + back : start - lo + back + k] = 0
-                context += before * model.size ** (k - 1)
-            cost = model.cost[model.row_of[context], classes][back:]
-            total = np.zeros((len(cost) + 1, cost.shape[1]), dtype=np.int64)
-            np.cumsum(cost, axis=0, out=total[1:])
+        for lo in range(0, int(at[-1]), SLICE_BYTES):  # a very long text in pieces
+            hi = min(lo + SLICE_BYTES, int(at[-1]))
+            part = data[offsets[a] + lo : offsets[a] + hi]
+            before = data[offsets[a] + max(lo - 3, 0) : offsets[a] + lo]
             edges = np.clip(at - lo, 0, hi - lo)
-            out[a:b] += total[edges[1:]] - total[edges[:-1]]
+            starts = at[:-1][(at[:-1] >= lo) & (at[:-1] < hi)] - lo
+            codes = _codes(part, starts, before)
+            rows = np.flatnonzero(edges[1:] > edges[:-1])
+            for k in range(len(model.languages)):
+                out[a + rows, k] += np.add.reduceat(_costs(model, k, codes), edges[rows])
     return out
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
     data, offsets = text_buffer(column)
     out = np.zeros(len(column), dtype=bool)
-    for a, b in slices(offsets):
-        total = np.concatenate([[0], np.cumsum(_LETTER[data[offsets[a] : offsets[b]]])])
-        edges = offsets[a : b + 1] - offsets[a]
-        out[a:b] = total[edges[1:]] > total[edges[:-1]]
+    for a, b in slices(offsets, SLICE_BYTES):
+        places = np.flatnonzero(_LETTER[data[offsets[a] : offsets[b]]])
+        edges = np.searchsorted(places, offsets[a : b + 1] - offsets[a])
+        out[a:b] = edges[1:] > edges[:-1]
     for k in np.flatnonzero(~out & (np.diff(offsets) > 0)):
         out[k] = any(c.isalpha() for c in column[int(k)].as_py() or "")
     return out
@@ -154,23 +211,47 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return [model.languages[k] if f else UNKNOWN for k, f in zip(best, fine, strict=True)], np.where(fine, score, 0.0)
 
 
-def learned(rows: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER) -> Model:
-    """A model of `rows` (doc_id, text, lang): at most `per_language` rows of each language,
-    those with the smallest hash of doc_id and text, at most MAX_LANGUAGES languages (the
-    most frequent). Rows with a null text or lang are not learned from."""
-    rows = rows.where("text is not null and lang is not null")
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    ranked = rows.select("lang", "doc_id", F.xxhash64("doc_id", F.length("text")).alias("h"))
-    chosen: set[int] = set()
-    for name in names:
-        top = ranked.where(F.col("lang") == name["lang"]).orderBy("h", "doc_id").limit(per_language)
-        chosen |= {r["doc_id"] for r in top.select("doc_id").collect()}
-    texts: dict[str, list[str]] = {n["lang"]: [] for n in names}
-    # one doc_id may repeat without end: the limit holds for the rows too
-    for row in rows.where(F.col("doc_id").isin(list(chosen))).select("lang", "text").limit(per_language * len(names)).collect():
-        if row["lang"] in texts:
-            texts[row["lang"]].append(row["text"])
-    return train({k: sorted(v) for k, v in texts.items()}, order)
+def sample(rows: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(lang, text) of the rows that are learned from.
+
+    Of each language's distinct rows (doc_id, text, lang; no nulls in the latter two, no
+    text above `most_bytes`) the first `per_language` by digest of doc_id and text, as long
+    as the texts before them have fewer than `most_bytes` bytes together. Ties can only be
+    equal rows, so reruns agree. A row's digest must be below its language's threshold,
+    which leaves about four times the rows wanted; so no task gets all rows of a language.
+    """
+    rows = rows.where("text is not null and lang is not null").where(F.octet_length("text") <= most_bytes)
+    counts = written(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows")), "labels")
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary"))
+    drawn = rows.select("lang", digest.alias("h"), "doc_id", "text").join(counts, F.col("lang") == F.col("of"))
+    share = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = drawn.where(share * F.col("rows") < 4.0 * per_language).select("lang", "h", "doc_id", "text").distinct()
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    before = F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("nth", F.row_number().over(first)).withColumn("before", F.coalesce(before, F.lit(0)))
+    return drawn.where(F.col("nth") <= per_language).where(F.col("before") < most_bytes).select("lang", "text")
+
+
+def learned(rows: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of every language of `rows`, from its `sample`; trained on the executors.
+
+    The driver gets the tables: for each language some 12 bytes per distinct run of up to
+    order + 1 bytes in its sample, and none of the texts.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        made = trained(group.column("text").to_pylist(), order)
+        columns = [pa.array([group.column("lang")[0].as_py()] * len(made), pa.string()), pa.array(range(len(made)), pa.int32())]
+        columns += [pa.array([x[k].tobytes() for x in made], pa.binary()) for k in range(4)]
+        return pa.table(columns, names=["lang", "k", "grams", "costs", "contexts", "leave"])
+
+    chosen = sample(rows, per_language, most_bytes).withColumn("lang", F.col("lang").cast("string"))
+    fields = "lang string, k int, grams binary, costs binary, contexts binary, leave binary"
+    found: dict[str, dict[int, tuple]] = {}
+    for r in chosen.groupBy("lang").applyInArrow(run, fields).toLocalIterator():
+        kinds = (np.uint32, np.int32, np.uint32, np.int32)
+        found.setdefault(r["lang"], {})[r["k"]] = tuple(np.frombuffer(r[c], t) for c, t in zip(("grams", "costs", "contexts", "leave"), kinds))
+    return model_of({lang: [own[k] for k in sorted(own)] for lang, own in found.items()}, order)
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -180,6 +261,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     nothing was learned.
     """
     docs = docs.drop("lang_pred", "score")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +271,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(released(run), f"{fields}, lang_pred string, score double")
 
 
 def held_out() -> F.Column:
@@ -198,15 +280,27 @@ def held_out() -> F.Column:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of `docs`."""
-    model = learned(docs.where(~held_out()))
+    """doc_id, held_out, lang_pred and score of every row of `docs` (doc_id, text, lang).
+
+    Null, empty and letterless texts are `und` with score 0, and so is all where no row has
+    a label. Equal texts get equal results: ties of code lengths go to the first language by
+    name, and the score then is an equal share. Repeated rows keep a row each and are learned
+    once. A null doc_id is not held out. Very long texts are read in pieces, in full. Other
+    columns are ignored; an empty table gives no rows.
+    """
+    model = learned(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = identified(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is recognised with that posterior; columns stay."""
-    model = learned(docs.where(~held_out()))
+    """The rows of `docs` whose language is recognised with that posterior; columns stay.
+
+    Rows with a null, empty or letterless text go. Repeated rows stay or go together, and of
+    languages that tie none has the posterior unless `least` allows it. Null and repeated
+    doc_ids change nothing; an empty table stays empty.
+    """
+    model = learned(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = identified(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), model)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
