@@ -3,7 +3,9 @@
 Each round replaces the edges of a node by edges to the smallest node it knows
 (first over larger, then over smaller neighbours), which keeps connectivity and
 ends in one star per component after a logarithmic number of rounds. Minima are
-aggregated before the shuffle, so a hub's edges never meet in one task as a list.
+aggregated before the shuffle. A hub's edges then meet its minimum in a join on
+the node, as a stream of pairs of integers, never as a list; adaptive execution
+splits such a join where it is skewed.
 """
 
 from __future__ import annotations

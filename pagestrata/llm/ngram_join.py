@@ -18,7 +18,11 @@ then still hold several components are searched through an R-tree. Sets travel
 once, to the component that their bounds allow, and are verified there through
 an R-tree again. Groups beyond `block` members are dealt as pairs of blocks.
 
-Equal sets are one point: copies cost one row each, and no pairs.
+Equal sets are one point: copies cost one row each, and no pairs. A set is known by 128
+bits: 64 of them name it, and names that two sets share (some 3 of 10**10 sets) are found
+in a count over all documents and replaced by the other 64. Two sets are compared on
+64-bit hashes of their shingles, which takes two different shingles of the pair for equal
+with a probability below 10**-12 for a million of them.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import bitmap, in_bitmap, written
+from .store import bitmap, in_bitmap, released, small_batches, written
 from .words import mix, shingle_sets
 
 #: Cells of more members than this are moved to the end of the order.
@@ -41,6 +45,12 @@ HOT_BITS = 26
 MOST_COMMON = 1 << (HOT_BITS - 4)
 LIVE_BITS = 26
 BLOCK = 8192
+#: Bytes of shingles of a block; a task holds two blocks.
+BLOCK_BYTES = 16_000_000
+#: Keys up to this many (12 bytes each) are broadcast; beyond, the rows of one cell or
+#: component are dealt to so many tasks in a join.
+SMALL, SALTS = 100_000, 16
+MOST_CLASHES = 100_000
 #: Members of a cell that a task holds at once.
 CELL_ROWS = 8192
 LEAF, FANOUT = 32, 16
@@ -55,10 +65,40 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def fingerprint(found: np.ndarray) -> int:
-    """Identifies a set (with its size): 64 bits, signed."""
-    both = np.array([found.sum(dtype=np.uint64), np.bitwise_xor.reduce(found)])
-    return int(mix(mix(both[:1]) + both[1:])[0].view(np.int64))
+def fingerprints(found: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set, signed; together they identify it. (0, 0) for no set."""
+    if not len(found):
+        return 0, 0
+    turned = mix(found + np.uint64(len(found)))
+    sums = np.array([found.sum(dtype=np.uint64), turned.sum(dtype=np.uint64)])
+    both = np.array([np.bitwise_xor.reduce(found), np.bitwise_xor.reduce(turned)])
+    one, two = mix(mix(sums) + both).view(np.int64)
+    return int(one), int(two)
+
+
+class Names:
+    """The 64 bits that name a set: the first hash, or where two sets share it the second."""
+
+    def __init__(self, clashes: frozenset[int] = frozenset()):
+        self.clashes = clashes
+
+    def of(self, found: np.ndarray) -> int:
+        one, two = fingerprints(found)
+        return two if one in self.clashes else one
+
+
+class Seen:
+    """A fixed table of names met of late: it may forget one, and never takes another for it."""
+
+    def __init__(self, bits: int = 16):
+        self.slots, self.mask = np.zeros(1 << bits, dtype=np.int64), (1 << bits) - 1
+
+    def has(self, name: int) -> bool:
+        """Whether the name is known; from now on it is."""
+        at = name & self.mask
+        known = bool(self.slots[at] == name)
+        self.slots[at] = name
+        return known
 
 
 def prefix(found: np.ndarray, common: np.ndarray | None) -> np.ndarray:
@@ -188,18 +228,16 @@ def _numbers(**columns: np.ndarray) -> pa.RecordBatch:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(s), fingerprint(s) if len(s) else 0) for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([f for _, f in sets], pa.int64())],
-            names=["doc_id", "n", "fp"],
-        )
+        sets = [(len(s), *fingerprints(s)) for s in shingle_sets(batch.column("text"))]
+        columns = [pa.array([x[k] for x in sets], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "fp", "fp2"])
 
 
-def _keys(common: np.ndarray | None) -> Callable:
-    """Rows (key, n, fp) of the cells of each set; a set met before in the task is left out."""
+def _keys(common: np.ndarray | None, named: Names) -> Callable:
+    """Rows (key, n, fp) of the cells of each set; sets met of late in the task are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
+        met = Seen()
         keys: list[np.ndarray] = []
         names: list[tuple[int, int]] = []
 
@@ -211,13 +249,10 @@ def _keys(common: np.ndarray | None) -> Callable:
         rows = 0
         for batch in batches:
             for found in shingle_sets(batch.column("text")):
-                if not len(found) or (name := (len(found), fingerprint(found))) in met:
+                if not len(found) or met.has(fp := named.of(found)):
                     continue
-                if len(met) > 500_000:
-                    met.clear()
-                met.add(name)
                 keys.append(prefix(found, common))
-                names.append(name)
+                names.append((len(found), fp))
                 rows += len(keys[-1])
                 if rows > 200_000:
                     yield flush()
@@ -284,11 +319,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole(True)
 
 
-def _picked(wanted: np.ndarray, whole: bool) -> Callable:
+def _picked(wanted: np.ndarray, whole: bool, named: Names) -> Callable:
     """(fp, n, data) of the sets whose fingerprint's slot is wanted: counts, or all hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met = Seen()
         rows: list[tuple[int, int, bytes]] = []
         held = 0
 
@@ -300,14 +335,12 @@ def _picked(wanted: np.ndarray, whole: bool) -> Callable:
 
         for batch in batches:
             for found in shingle_sets(batch.column("text")):
-                if not len(found) or (fp := fingerprint(found)) in met:
+                if not len(found):
                     continue
+                fp = named.of(found)
                 slot = np.array([fp], dtype=np.int64).view(np.uint64) >> np.uint64(64 - LIVE_BITS)
-                if not in_bitmap(wanted, slot)[0]:
+                if not in_bitmap(wanted, slot)[0] or met.has(fp):
                     continue
-                if len(met) > 500_000:
-                    met.clear()
-                met.add(fp)
                 rows.append((fp, len(found), (found if whole else group_counts(found)).tobytes()))
                 held += len(rows[-1][2])
                 if held > 2_000_000:
@@ -394,9 +427,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(out)
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """left joined with right, a row per key. Up to SMALL keys are broadcast; beyond, the
+    rows of a hot key are dealt to SALTS tasks."""
+    right = written(right, "keys")
+    if right.count() <= SMALL:
+        return left.join(F.broadcast(right), on)
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.hint("merge").withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS))).join(right, [on, "salt"]).drop("salt")
+
+
 def _blocked(df: DataFrame, by: str, block: int) -> DataFrame:
-    """Rows with (i, j): one group for a `by` of up to `block` rows, else all pairs of blocks."""
-    df = df.join(df.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), by)
+    """Rows with (i, j): one group for a `by` of up to `block` rows and BLOCK_BYTES of
+    shingles (n each), else all pairs of blocks."""
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("n") * F.lit(8.0 / BLOCK_BYTES))).cast("int")
+    df = _joined(df, df.groupBy(by).agg(blocks.alias("nb")), by)
     own = F.pmod(F.hash("fp"), F.col("nb"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("nb") - 1),
@@ -410,7 +455,16 @@ def _slot(name: str) -> F.Column:
 
 
 def _by_group(df: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), schema)
+
+
+def _clashes(members: DataFrame) -> frozenset[int]:
+    """First hashes that differing sets share."""
+    shared = members.where("n > 0").groupBy("fp").agg(F.min("fp2").alias("lo"), F.max("fp2").alias("hi")).where("lo <> hi")
+    found = shared.select("fp").limit(MOST_CLASHES + 1).collect()
+    if len(found) > MOST_CLASHES:
+        raise RuntimeError("too many sets share a 64-bit hash")
+    return frozenset(r["fp"] for r in found)
 
 
 def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -427,56 +481,60 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Other columns are ignored. An empty table gives no rows. Whole texts are read; a text
     beyond the slice size of `words` is processed alone.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     texts = docs.select("text")
-    members = written(docs.mapInArrow(_members, "doc_id long, n long, fp long"), "members")
+    members = written(docs.mapInArrow(released(_members), "doc_id long, n long, fp long, fp2 long"), "members")
+    names = Names(_clashes(members))
+    if names.clashes:
+        members = members.withColumn("fp", F.when(F.col("fp").isin(*names.clashes), F.col("fp2")).otherwise(F.col("fp")))
 
-    cells = texts.mapInArrow(_keys(None), "key long, n long, fp long")
+    cells = texts.mapInArrow(released(_keys(None, names)), "key long, n long, fp long")
     crowded = cells.groupBy(F.shiftrightunsigned("key", 24).alias("g")).count().where(F.col("count") > COMMON)
     crowded = written(crowded, "crowded")
     if (n := crowded.count()) > MOST_COMMON:  # the most crowded ones only: the bitmap stays sparse
         crowded = crowded.where(F.col("count") > crowded.approxQuantile("count", [1 - MOST_COMMON / n], 1e-3)[0])
     common = bitmap(crowded, F.shiftrightunsigned("g", 40 - HOT_BITS), HOT_BITS)
-    cells = texts.mapInArrow(_keys(common), "key long, n long, fp long")
+    cells = texts.mapInArrow(released(_keys(common, names)), "key long, n long, fp long")
     cells = cells.repartition("key").sortWithinPartitions("key", "n", "fp")
-    cells = cells.mapInArrow(_cells, "s1 long, s2 long, part int, ns array<long>, fps array<long>")
+    cells = cells.mapInArrow(released(_cells), "s1 long, s2 long, part int, ns array<long>, fps array<long>")
     cells = written(cells.groupBy("s1", "s2", "part").agg(F.first("ns").alias("ns"), F.first("fps").alias("fps")), "cells")
     first = [F.get(c, F.lit(0)).alias(f"p{c[:-1]}") for c in ("ns", "fps")]
     shared = cells.select(F.col("s1").alias("key"), *first, F.explode(F.arrays_zip("ns", "fps")).alias("m"))
     shared = shared.select("key", F.col("m.ns").alias("n"), F.col("m.fps").alias("fp"), "pn", "pfp")
 
     wanted = bitmap(shared, _slot("fp"), LIVE_BITS)
-    counts = written(
-        texts.mapInArrow(_picked(wanted, False), "fp long, n long, data binary").dropDuplicates(["fp"]).select("fp", "data"), "counts"
-    )
+    counts = texts.mapInArrow(released(_picked(wanted, False, names)), "fp long, n long, data binary")
+    counts = written(counts.dropDuplicates(["fp"]), "counts")
+    vectors = counts.select("fp", "data")
     pairs = shared.where("fp <> pfp and 5 * pn >= 4 * n").select("fp", "n", "pfp", "pn").distinct()
-    pairs = pairs.join(counts, "fp").join(counts.select(F.col("fp").alias("pfp"), F.col("data").alias("pdata")), "pfp")
-    stars = written(pairs.mapInArrow(_bounded, "fp long, pfp long"), "stars").toDF("a", "b")
+    pairs = pairs.join(vectors, "fp").join(counts.select(F.col("fp").alias("pfp"), F.col("data").alias("pdata")), "pfp")
+    stars = written(pairs.mapInArrow(released(_bounded), "fp long, pfp long"), "stars").toDF("a", "b")
     near = components(stars)
 
     placed = shared.select("key", "n", "fp").join(near.toDF("fp", "comp"), "fp", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "fp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    mixed = written(_blocked(placed.join(mixed, "key"), "key", block), "mixed").join(counts, "fp")
+    mixed = written(_joined(placed, mixed, "key"), "mixed")
+    mixed = _blocked(mixed, "key", block).join(vectors, "fp")
     more = written(_by_group(mixed, ["key", "i", "j"], _searched, "a long, b long").distinct(), "more")
     if not more.isEmpty():
         near = components(stars.union(more))
 
-    near = written(near.toDF("fp", "comp"), "near")
+    near = written(near.toDF("fp", "comp").join(counts.select("fp", "n"), "fp"), "near")
     wanted = bitmap(near, _slot("fp"), LIVE_BITS)
-    sets = texts.mapInArrow(_picked(wanted, True), "fp long, n long, data binary")
-    sets = _blocked(near, "comp", block).join(sets, "fp")
+    sets = texts.mapInArrow(released(_picked(wanted, True, names)), "fp long, n long, data binary")
+    sets = _blocked(near, "comp", block).drop("n").join(sets, "fp")
     links = written(_by_group(sets, ["comp", "i", "j"], _verified, "a long, b long"), "links")
     roots = components(links).toDF("fp", "root")
 
-    named = members.join(roots, "fp", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "fp")))
-    # an empty set has no class but its own row
-    least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    # copies are counted as one set before components meet; an empty set has no class but its own row
+    own = members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("own"))
+    own = written(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    least = own.groupBy("root").agg(F.min("own").alias("least"))
+    least = own.join(least, "root").select("fp", "least")
+    full = members.where("n > 0").join(least, "fp").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return full.union(members.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:

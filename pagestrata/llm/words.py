@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-SLICE_BYTES = 500_000
+SLICE_BYTES = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
