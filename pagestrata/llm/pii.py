@@ -9,7 +9,6 @@ linear in the text, however long a run of word characters or digits is.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import released, small_batches
+
 #: Kinds in the order of the digest; later ones are this method's own.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE_KINDS = KINDS[:4]
@@ -158,12 +159,18 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             found = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in r] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[key, "spans"])
 
+    small_batches(docs.sparkSession)
     keys = docs.select(key, text)
-    return keys.mapInArrow(run, f"`{key}` {keys.schema[key].dataType.simpleString()}, spans array<struct<kind: string, start: long, end: long>>")
+    return keys.mapInArrow(released(run), f"`{key}` {keys.schema[key].dataType.simpleString()}, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the spans of `personal_data`."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans of every row.
+
+    base_sha256 is over the base kinds' spans, spans and n_spans (their number) over all
+    kinds. A null or empty text has none. Repeated and null doc_ids keep a row each; other
+    columns, whatever their names, are ignored; an empty table gives no rows.
+    """
     found = personal_data(docs)
 
     def counted(kind: str) -> F.Column:
@@ -174,7 +181,8 @@ def span_digest(docs: DataFrame) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(
-        "doc_id", *map(counted, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+        "doc_id", *map(counted, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -198,27 +206,6 @@ def redacted(docs: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = lengths
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
-
-
-def brute_force_base(text: str | None) -> list[tuple[str, int, int]]:
-    """The base spans by plain pattern search: quadratic on long runs, for tests."""
-    text = text or ""
-    found = []
-    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
-        found.append(("email", *m.span()))
-    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
-            found.append(("ip", *m.span()))
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
-        digits = re.sub("[ -]", "", m[0])
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            found.append(("card", *m.span()))
-    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
-        if 9 <= sum(c.isascii() and c.isdigit() for c in m[0]) <= 15:
-            found.append(("phone", *m.span()))
-    return found
-
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(released(run), schema)
 
-def digest_of(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()

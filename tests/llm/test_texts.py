@@ -1,5 +1,6 @@
 """Operators on single texts: quality, language, tokens, licenses, personal data."""
 
+import hashlib
 import math
 import random
 import re
@@ -120,6 +121,39 @@ def test_languages_held_out(spark):
     assert right > 0.99
 
 
+def test_many_languages(spark):
+    rng = random.Random(7)
+    made = {}
+    for k in range(100):
+        made[f"l{k:03}"] = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(40)]
+    rows = [(f"{lang}-{k}", " ".join(rng.choices(own, k=60)), lang) for lang, own in made.items() for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language_id.learned(docs.where(~language_id.held_out()))
+    assert model.languages == sorted(made) and model.order == 3
+    found = language_id.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(found) > 100 and all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_the_sample_is_bounded_and_the_same_again(spark):
+    rows = [(k % 50, f"text {k % 70} of many words here", "en") for k in range(3000)] + [(7, "x" * 90_000, "en"), (8, "ein Text", "de")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = language_id.sample(docs, per_language=20, most_bytes=10_000)
+    again = language_id.sample(docs.repartition(7), per_language=20, most_bytes=10_000)
+    assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, again.collect()))
+    counts = Counter(r["lang"] for r in chosen.collect())
+    assert counts["de"] == 1 and 0 < counts["en"] <= 20
+    few = language_id.sample(docs, per_language=20, most_bytes=100).where("lang = 'en'").collect()
+    assert 1 <= len(few) <= 5
+
+
+def test_pieces_of_a_long_text_cost_what_the_whole_does(monkeypatch):
+    model = train({"en": [PROSE], "de": ["der hund und die katze sitzen"]})
+    column = pa.array([PROSE * 7, "", None, "die katze", PROSE])
+    whole = code_lengths(model, column)
+    monkeypatch.setattr(language_id, "SLICE_BYTES", 37)
+    assert (code_lengths(model, column) == whole).all() and (whole[1:3] == 0).all()
+
+
 def test_languages_of_hard_rows(spark):
     found = {(r["doc_id"]): (r["lang_pred"], r["score"]) for r in language_id.languages(hard(spark)).collect()}
     assert len(language_id.languages(hard(spark)).collect()) == len(hard_rows())
@@ -198,11 +232,61 @@ def test_license_texts(spark):
     assert found - {(4, "BSD-2-Clause")} == {(1, "MIT"), (2, "MPL-2.0"), (3, "ISC"), (4, "BSD-3-Clause")}
 
 
+def brute_force_base(text):
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            found.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[ -]", "", m[0])
+        if 13 <= len(digits) <= 19 and pii.luhn(digits):
+            found.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isascii() and c.isdigit() for c in m[0]) <= 15:
+            found.append(("phone", *m.span()))
+    return found
+
+
+def brute_force_added(text):
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+.-]{1,32}://([^\x00-\x20\x7f<>\"'`{}|\\^\u00a0]+)", text):
+        if "@" in re.split("[/?#]", m[1])[0]:
+            found.append(("url", *m.span()))
+    cues = {f for c in pii.CUES for f in (c, c.upper(), c.title())}
+    cue = "|".join(sorted(map(re.escape, cues), key=len, reverse=True))
+    iban = r"[ :=#]{0,3}(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+    for m in re.finditer(rf"""(?<![^\W])(?:(?:iban|IBAN|Iban){iban}|(?:{cue}) ?[=:#] ?["']?(?P<value>[A-Za-z0-9_+/.-]{{6,}}))""", text):
+        if m["iban"]:
+            raw = m["iban"].replace(" ", "")
+            digits = "".join(str(int(c, 36)) for c in raw[4:] + raw[:4])
+            if len(raw) >= 15 and int(digits) % 97 == 1:
+                found.append(("account", *m.span("iban")))
+        elif re.search("[0-9]", m["value"]):
+            found.append(("account", *m.span("value")))
+    return found
+
+
+def digest_of(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+PIECES = ["token", "Token", "iban", "IBAN", "api_key", "ssn", "password", "x", "_", " ", "=", ":", "#", '"', "abc123", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "GB00WEST12345698765432", "12345678", "http", "://", "bob", "@", "/", "?", "host.org", "<", "-", "\u00e9"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_added_spans_equal_pattern_search(text):
+    found = [s for s in pii.find_spans(text, pii._automaton()) if s[0] not in pii.BASE_KINDS]
+    assert found == brute_force_added(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="a.@+-0123456789 ()_%:\u00e9\n", max_size=60))
 def test_base_spans_equal_pattern_search(text):
     found = [s for s in pii.find_spans(text, pii._automaton()) if s[0] in pii.BASE_KINDS]
-    assert found == pii.brute_force_base(text)
+    assert found == brute_force_base(text)
 
 
 def test_added_spans_and_masks():
@@ -219,7 +303,22 @@ def test_personal_data_of_tables(spark):
     rows = [(1, "\u00e9 a@b.co 4111 1111 1111 1111"), (2, None), (3, ""), (1, "x")]
     found = sorted(map(tuple, pii.span_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     spans = [("email", 2, 8), ("card", 9, 28)]
-    assert (1, 1, 0, 1, 0, pii.digest_of(spans), "email:2:8,card:9:28") in found and len(found) == 4
+    assert (1, 1, 0, 1, 0, digest_of(spans), "email:2:8,card:9:28", 2) in found and len(found) == 4
     masked = pii.redacted(hard(spark))
     assert masked.schema == hard(spark).schema and masked.count() == len(hard_rows())
     assert pii.span_digest(empty(spark)).count() == 0
+    # a row each, nulls and repeats included, whatever other columns are called
+    again = pii.span_digest(hard(spark)).collect()
+    assert Counter(r["doc_id"] for r in again) == Counter(r[0] for r in hard_rows()) and {r["n_spans"] for r in again} == {0}
+
+
+def test_personal_data_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = pii.span_digest(docs).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base, added = brute_force_base(texts[r["doc_id"]]), brute_force_added(texts[r["doc_id"]])
+        assert r["base_sha256"] == digest_of(base) and r["n_spans"] == len(base) + len(added)
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in base + added)
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in base) for k in pii.BASE_KINDS]
