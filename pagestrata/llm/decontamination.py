@@ -6,11 +6,12 @@ which at most `WINDOW - LEAST` differ, some placement of one of them meets equal
 only (`lossless` checks it). Test and training seeds are joined, and around each hit the
 words are compared on its diagonal.
 
-Items shorter than a window are looked up whole by one seed of all their words, or, by the
-tolerant rule of `clean`, by the runs of `pieces`, of which one at least is met unchanged.
+Items shorter than a window may lose as large a share of their words; they are looked up by
+the runs of `pieces`, of which one at least is met unchanged.
 
-DataFrame functions only: positions are exploded and hashed inside generated code, and
-the words around a position travel only with positions that hit.
+DataFrame functions only: each word is hashed once, positions are exploded with the hashes
+of the words after them and combined to seeds inside generated code, and the words around a
+position travel only with positions that hit.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from .store import written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW, LEAST = 20, 17
-SHORTEST = 5
 MASKS = ("111101011", "11011111")
 SPAN = max(map(len, MASKS))
-#: Seeds up to this many (about 50 MB) are broadcast; more are joined by shuffling.
+#: Seeds up to this many (about 50 MB) are broadcast; more are joined by shuffling, after a
+#: bitmap has thinned the positions: so many bits a seed, as long as it has at most 8 MB.
 BROADCAST_SEEDS = 1_000_000
-FLAG_BITS = 20
+BITS_A_SEED, MOST_BITS = 16, 26
 
 
 def lossless(masks: tuple[str, ...] = MASKS, window: int = WINDOW, least: int = LEAST) -> bool:
@@ -53,35 +54,37 @@ def pieces(n: int) -> tuple[int, list[int]]:
     return n // runs, [k * (n // runs) for k in range(runs)]
 
 
-def words_of(text: Column, every_letter: bool = False) -> Column:
-    """Words of a text, A-Z lower-cased, or every letter (sharp s, in capitals SS, as ss)."""
-    low = F.coalesce(text, F.lit(""))
-    if every_letter:
-        low = F.replace(F.lower(low), F.lit("\u00df"), F.lit("ss"))
-    else:
-        low = F.translate(low, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def words_of(text: Column) -> Column:
+    """Words of a text in lower case (sharp s, in capitals SS, as ss; one form of sigma)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    low = F.replace(F.replace(low, F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
     return F.array_remove(F.split(low, SPACE), "")
 
 
-def _positions(rows: DataFrame, short: list[int]) -> DataFrame:
-    """Rows (every column of `rows`, pos, seed), a few per position of `words`."""
-    tails = [F.slice("words", k + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{k}") for k in range(max([SPAN, *short]))]
-    rows = rows.select("*", F.posexplode(F.arrays_zip("words", *tails[1:])).alias("pos", "at"))
-    word = [F.col("at")["words"], *(F.col("at")[f"w{k}"] for k in range(1, len(tails)))]
-    seeds = [F.xxhash64(F.lit(m), *(word[k] for k, c in enumerate(mask) if c == "1")) for m, mask in enumerate(MASKS)]
-    # runs of these lengths find the items shorter than a window
-    seeds += [F.xxhash64(F.lit(100 + n), *word[:n]) for n in short]
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _positions(rows: DataFrame, runs: list[int], seeds_of: tuple[str, ...] = MASKS) -> DataFrame:
+    """Rows (every column of `rows`, pos, seed): per position of `words` a seed of each mask
+    and of each run of the given lengths. Beyond the end of a text seeds have fewer words."""
+    span = max([*map(len, seeds_of), *runs])
+    rows = rows.withColumn("h", _hashed(F.col("words")))
+    tails = [F.slice("h", k + 1, F.greatest(F.size("h"), F.lit(1))).alias(f"h{k}") for k in range(1, span)]
+    rows = rows.select(*(c for c in rows.columns if c != "h"), F.posexplode(F.arrays_zip(F.col("h").alias("h0"), *tails)).alias("pos", "at"))
+    word = [F.col("at")[f"h{k}"] for k in range(span)]
+    seeds = [F.xxhash64(F.lit(m), *(word[k] for k, c in enumerate(mask) if c == "1")) for m, mask in enumerate(seeds_of)]
+    seeds += [F.xxhash64(F.lit(100 + n), *word[:n]) for n in runs]
     return rows.withColumn("seed", F.explode(F.array(*seeds))).drop("at")
 
 
-def _item_seeds(items: DataFrame, short: list[int], tolerant: bool) -> DataFrame:
-    """(seed, item_id, j, n): seeds of items; short items have the one of all their words, or
-    those of their pieces."""
+def _item_seeds(items: DataFrame, short: list[int]) -> DataFrame:
+    """(seed, item_id, j, n): seeds of items, those of short ones from their pieces."""
     parts = [_positions(items.where(F.col("n") >= WINDOW), []).select("seed", "item_id", F.col("pos").alias("j"), "n")]
     for n in short:
-        size, places = pieces(n) if tolerant else (n, [0])
+        size, places = pieces(n)
         for j in places:
-            run = F.xxhash64(F.lit(100 + size), *(F.get("words", F.lit(j + k)) for k in range(size)))
+            run = F.xxhash64(F.lit(100 + size), *(F.xxhash64(F.get("words", F.lit(j + k))) for k in range(size)))
             parts.append(items.where(F.col("n") == n).select(run.alias("seed"), "item_id", F.lit(j).alias("j"), "n"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -91,9 +94,9 @@ def _around(words: Column, at: Column) -> Column:
     return F.transform(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW - 1)), lambda k: F.get(words, at + k))
 
 
-def _best(one: Column, other: Column, n: Column, tolerant: bool) -> Column:
-    """The most equal pairs of a window over two `_around`; for a short item of n words its
-    equal pairs, all of them or by the tolerant rule enough; else 0."""
+def _best(one: Column, other: Column, n: Column) -> Column:
+    """The most equal pairs of a window over two `_around`, or for a short item of n words
+    all its equal pairs; 0 if they are too few."""
     same = F.zip_with(one, other, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("long"))
     # bit 2 * WINDOW - 2 is the first pair, bit WINDOW - 1 the pair at the position itself
     flags = F.aggregate(same, F.lit(0).cast("long"), lambda bits, e: bits * 2 + e)
@@ -101,60 +104,77 @@ def _best(one: Column, other: Column, n: Column, tolerant: bool) -> Column:
     def judged(bits: Column) -> Column:
         full = F.lit((1 << WINDOW) - 1).cast("long")
         most = F.greatest(*(F.bit_count(F.shiftright(bits, k).bitwiseAND(full)) for k in range(WINDOW)))
-        if tolerant:
-            # all of a short item lies around the position, and nothing else of the item does
-            equal = F.bit_count(bits)
-            enough = F.when(n >= WINDOW, most >= LEAST).otherwise(equal * WINDOW >= n * LEAST)
-            return F.when(enough, F.when(n >= WINDOW, most).otherwise(equal)).otherwise(0)
-        ahead = F.substring(F.lpad(F.conv(bits.cast("string"), 10, 2), 2 * WINDOW - 1, "0"), WINDOW, WINDOW)
-        whole = F.substring(ahead, F.lit(1), n) == F.repeat(F.lit("1"), n)
-        return F.when(n >= WINDOW, F.when(most >= LEAST, most).otherwise(0)).when(whole, n).otherwise(0)
+        # all of a short item lies around the position, and nothing else of the item does
+        equal = F.bit_count(bits)
+        enough = F.when(n >= WINDOW, most >= LEAST).otherwise(equal * WINDOW >= n * LEAST)
+        return F.when(enough, F.when(n >= WINDOW, most).otherwise(equal)).otherwise(0)
 
     # evaluates the flags once
     return F.get(F.transform(F.array(flags), judged), F.lit(0))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, tolerant: bool = False) -> DataFrame:
+def _flags(seeds: DataFrame, n_seeds: int) -> tuple[DataFrame, int]:
+    """A row with an array of longs, 2**bits flags: each seed sets two."""
+    bits = 10
+    while bits < MOST_BITS and (1 << bits) < BITS_A_SEED * n_seeds:
+        bits += 1
+    slots = seeds.select(F.explode(F.array(*_slots(bits))).alias("slot"))
+    flag = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    rows = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("at")).agg(F.bit_or(flag).alias("x")).collect()
+    words = [0] * (1 << (bits - 6))
+    for r in rows:
+        words[r["at"]] = r["x"]
+    return seeds.sparkSession.createDataFrame([(words,)], "words array<long>"), bits
+
+
+def _slots(bits: int) -> list[Column]:
+    mask = F.lit((1 << bits) - 1).cast("long")
+    return [F.col("seed").bitwiseAND(mask), F.shiftrightunsigned("seed", 64 - bits)]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_match): a row per pair of a document and an item that overlap.
 
-    Words are runs of code points other than U+0020 and U+0009-U+000D, A-Z lower-cased. An
-    item of `WINDOW` words or more overlaps a text when on some alignment at least `LEAST`
-    of `WINDOW` consecutive positions hold equal words; n_match is the most in any window.
-    An item of `SHORTEST` to WINDOW - 1 words overlaps when the text holds it whole, and
-    n_match is its length; shorter, empty and null items overlap nothing, as do null and
-    empty texts. By the `tolerant` rule an item of 1 to WINDOW - 1 words overlaps when on
-    some alignment `LEAST` / `WINDOW` of its words at least are equal (`least_equal`), and
-    n_match is the most that are; items of up to 6 words so overlap whole only. That rule
-    lower-cases every letter, not A-Z only. Pairs are distinct, so repeated rows count once. Other columns of both
-    tables are ignored.
+    Words are runs of code points other than U+0020 and U+0009-U+000D, in lower case. An item
+    of `WINDOW` words or more overlaps a text when on some alignment at least `LEAST` of
+    `WINDOW` consecutive positions hold equal words; n_match is the most in any window. An
+    item of 1 to WINDOW - 1 words overlaps when on some alignment `LEAST` / `WINDOW` of its
+    words at least are equal (`least_equal`), and n_match is the most that are; items of up
+    to 6 words so overlap whole only. Empty and null items overlap nothing, as do null and
+    empty texts. Pairs are distinct, so repeated rows count once, and texts that share a
+    doc_id (null too) count together. Very long texts are read in full; other columns of both
+    tables are ignored; an empty table gives no rows.
     """
-    items = benchmark.select("item_id", words_of(F.col("text"), tolerant).alias("words")).where(F.size("words") >= (1 if tolerant else SHORTEST))
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= 1)
     items = written(items.withColumn("n", F.size("words")), "items")
     short = sorted(r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
-    runs = sorted({pieces(n)[0] for n in short}) if tolerant else short
-    seeds = written(_item_seeds(items, short, tolerant).distinct(), "seeds")
-    found = _positions(docs.select("doc_id", words_of(F.col("text"), tolerant).alias("words")), runs)
+    seeds = written(_item_seeds(items, short).distinct(), "seeds")
+    texts = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    found = _positions(texts, sorted({pieces(n)[0] for n in short}))
     around = _around(F.col("words"), F.col("pos"))
-    if seeds.count() <= BROADCAST_SEEDS:
+    if (n_seeds := seeds.count()) <= BROADCAST_SEEDS:
         hits = found.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "j", "n", around.alias("around"))
     else:
-        # a bitmap of fixed size thins the positions before they are shuffled
-        slot = F.col("seed").bitwiseAND(F.lit((1 << FLAG_BITS) - 1))
-        flags = seeds.select(F.shiftright(slot, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(seed & 63 as int))").alias("flag"))
-        words = {r["at"]: r["x"] for r in flags.groupBy("at").agg(F.bit_or("flag").alias("x")).collect()}
-        table = F.lit([words.get(k, 0) for k in range(1 << (FLAG_BITS - 6))]).cast("array<long>")
-        set_ = F.expr("shiftleft(1L, cast(seed & 63 as int))").bitwiseAND(F.get(table, F.shiftright(slot, 6).cast("int"))) != 0
-        thin = found.where(set_).select("doc_id", "seed", around.alias("around"))
-        hits = thin.join(seeds, "seed").select("doc_id", "item_id", "j", "n", "around")
+        # positions are thinned before they are shuffled; words are fetched for hits alone
+        flags, bits = _flags(seeds, n_seeds)
+        held = [F.expr(f"shiftleft(1L, cast({s} & 63 as int))") for s in ("slot0", "slot1")]
+        words = [F.get(flags.scalar(), F.shiftright(s, 6).cast("int")) for s in ("slot0", "slot1")]
+        thin = found.select("doc_id", "pos", "seed", *(s.alias(f"slot{k}") for k, s in enumerate(_slots(bits))))
+        thin = thin.where((words[0].bitwiseAND(held[0]) != 0) & (words[1].bitwiseAND(held[1]) != 0)).select("doc_id", "pos", "seed")
+        met = written(thin.join(seeds, "seed").select(F.col("doc_id").alias("at_doc"), "pos", "item_id", "j", "n").distinct(), "hits")
+        hits = texts.join(met, F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("doc_id", "item_id", "j", "n", around.alias("around"))
     hits = hits.join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    match = _best(F.col("around"), _around(F.col("item"), F.col("j")), F.col("n"), tolerant)
+    match = _best(F.col("around"), _around(F.col("item"), F.col("j")), F.col("n"))
     found = hits.select("doc_id", "item_id", match.cast("long").alias("n_match")).where("n_match > 0")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_match").alias("n_match"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that overlap no item by the tolerant rule; columns stay. A null
-    doc_id stays."""
+    """The rows of `docs` that overlap no item; columns stay.
+
+    Rows that share a doc_id with one that overlaps go too; a null doc_id stays, as do null
+    and empty texts. An empty table stays empty.
+    """
     # written first: Spark then knows its size, and shuffles the texts only if it is large
-    bad = written(contaminated(docs, benchmark, tolerant=True).select("doc_id").distinct(), "bad")
+    bad = written(contaminated(docs, benchmark).select("doc_id").distinct(), "bad")
     return docs.join(bad, "doc_id", "left_anti")

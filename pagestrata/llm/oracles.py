@@ -25,39 +25,41 @@ FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d
 GROUP BY d.doc_id, n.n
 """
 
+_FOLDED = (
+    "list_filter(string_split_regex(replace(replace(lower(coalesce(text, '')), chr(223), 'ss'), chr(962), chr(963)), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+)
+
+# diagonals with enough equal pairs; items shorter than 20 words may lose 3 in 20
 OP2 = f"""
-WITH d AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-it AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-b AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) AS j, unnest(w) AS x FROM it WHERE len(w) >= 5),
-m AS (SELECT doc_id, item_id, n, i - j AS diagonal, list_sort(list(j)) AS p FROM d JOIN b USING (x) GROUP BY ALL HAVING count(*) >= least(n, 17)),
+WITH d AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT doc_id, {_FOLDED} AS w FROM documents)),
+it AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+b AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) AS j, unnest(w) AS x FROM it),
+m AS (SELECT doc_id, item_id, n, i - j AS diagonal, list_sort(list(j)) AS p FROM d JOIN b USING (x) GROUP BY ALL HAVING 20 * count(*) >= 17 * least(n, 20)),
 c AS (SELECT doc_id, item_id, n, CASE WHEN n < 20 THEN len(p) ELSE
   list_max(list_transform(p, lambda a: len(list_filter(p, lambda q: q >= a AND q <= a + 19)))) END AS k FROM m)
-SELECT doc_id, item_id, max(k) AS n_match FROM c WHERE CASE WHEN n < 20 THEN k = n ELSE k >= 17 END GROUP BY 1, 2
+SELECT doc_id, item_id, max(k) AS n_match FROM c WHERE 20 * k >= 17 * least(n, 20) GROUP BY 1, 2
 """
 
+# the contract: quotas are targets rounded by largest remainders, and a source's words in
+# shuffled order are taken from the first on, as often round as its quota asks
 OP8 = """
 WITH sized AS (
   SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sized GROUP BY source),
 wt AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, 3.0::DOUBLE * source_size AS cap,
-       sum(source_size) OVER () AS total, count(*) OVER () AS kinds FROM src),
+       sum(source_size) OVER () AS total FROM src),
 lv AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
        / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM wt),
 tg AS (SELECT *, least(cap, max(lev) OVER () * w) AS target FROM lv),
-pl AS (SELECT *, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS lo,
-       greatest(1, least(8192, (total // (4096 * kinds))))::BIGINT AS b FROM tg),
-iv AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY sid), 2.0) AS hi FROM pl),
-slot AS (SELECT t, (t * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range(0, ((total + b - 1) // b)::BIGINT)) AS t FROM (SELECT any_value(total) AS total, any_value(b) AS b FROM iv))),
-won AS (SELECT sid, count(*) AS slots FROM slot JOIN iv ON u >= lo AND u < hi AND source_size > 0 GROUP BY sid),
-laid AS (SELECT s.doc_id, s.size, v.sid, sum(s.size) OVER (PARTITION BY v.sid ORDER BY md5(s.doc_id::VARCHAR), s.doc_id) - s.size AS first
-         FROM sized s JOIN iv v ON s.source IS NOT DISTINCT FROM v.source WHERE s.size > 0),
--- full rounds take everything; what is left of the slots takes the first blocks of one more
-took AS (SELECT l.doc_id, l.sid,
-   least(3, slots // nb) * l.size + CASE WHEN slots // nb < 3 THEN greatest(0, least(l.first + l.size, (slots % nb) * b) - l.first) ELSE 0 END AS taken
-   FROM laid l JOIN (SELECT iv.sid, iv.b, coalesce(won.slots, 0) AS slots, (source_size + b - 1) // b AS nb FROM iv LEFT JOIN won USING (sid)) z USING (sid))
-SELECT s.doc_id, s.size::BIGINT AS size, v.source_size, v.target::DOUBLE AS target, coalesce(t.taken, 0)::BIGINT AS taken
-FROM sized s JOIN iv v ON s.source IS NOT DISTINCT FROM v.source LEFT JOIN took t ON t.doc_id = s.doc_id
+dn AS (SELECT *, floor(target + 1e-6)::BIGINT AS down FROM tg),
+rk AS (SELECT *, total - sum(down) OVER () AS rest, row_number() OVER (ORDER BY round(target - down, 6) DESC, sid) AS nth FROM dn),
+q AS (SELECT *, least(down + CASE WHEN nth <= rest THEN 1 ELSE 0 END, 3 * source_size)::BIGINT AS quota FROM rk),
+laid AS (SELECT s.doc_id, s.size, q.*, sum(s.size) OVER (PARTITION BY q.sid ORDER BY md5(s.doc_id::VARCHAR), s.doc_id) - s.size AS first
+         FROM sized s JOIN q ON s.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
+  CASE WHEN size = 0 THEN 0 ELSE quota // source_size * size + least(size, greatest(0, quota % source_size - first)) END::BIGINT AS taken
+FROM laid
 """
 
 OP9 = """
