@@ -1,21 +1,27 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is cut into slots, of equally many words but for small sources, whose slots are
-shorter and as many more: a slot is a `PARTS`th of its source at most. Slot t takes the
-golden-ratio point frac(t * 0.618...) through the sources' cumulative slots, so that any
-run of slots holds each source in nearly its share. Of each source the documents are
-shuffled (by digest) and laid end to end, and cut into blocks as long as its slots; the
-slot with rank r of its source takes block r modulo the number of blocks, at most three
-times round.
-
-Ranks, offsets and targets are prefix sums in two levels (bounded chunks, then chunk
-totals), so that no task holds a whole source, however large.
+Every source has a quota of words: its target, rounded so that the quotas add up to the
+words of all documents (largest remainders). Its documents are shuffled by digest and laid
+end to end on a ring; the quota is the ring's words from 0 on, as often round as it takes,
+cut into slots of equally many words (one word apart at most). So a source gives its quota
+exactly, however small, and no document more often than the ring goes round.
+
+The slots of all sources, one after another, are places 0 to N - 1 of the cumulative
+weights. Slot t of the mix takes place t * g mod N, where g is prime to N and next to
+N / 1.618...: a golden-ratio point on the lattice of places, so that each place is met once
+and any run of slots holds each source in nearly its share. The slot with rank r of its
+source takes block r of the source's ring.
+
+Ranks and offsets are prefix sums in two levels (bounded chunks, then chunk totals), so
+that no task holds a whole source, however large. Only the sources' own sums (a row each)
+are ranked in one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +31,11 @@ from .store import written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 GOLDEN = 0.6180339887498949
+#: Words of a slot at most, and slots of a source at least (if it has as many words).
 BLOCK = 8192
-SLOTS_A_SOURCE = 4096
-PARTS = 256
+PARTS = 1024
 CHUNK = 65536
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 STRIPS = 1024
 
 
@@ -41,8 +47,8 @@ def n_words(text: Column) -> Column:
 @dataclass
 class Mix:
     """sizes: a row per document (uid, doc_id, source, sid, size); sources: a row per source
-    (sid, source, source_size, target, length, lo, hi, n_slots); slots: (slot, sid, rank, pass, block);
-    pieces: (uid, sid, block, words), the parts of documents in each block."""
+    (sid, source, source_size, target, quota, n_slots, lo); slots: (slot, sid, rank);
+    pieces: (uid, sid, rank, words), the parts of documents in each block of the ring."""
 
     sizes: DataFrame
     sources: DataFrame
@@ -51,15 +57,16 @@ class Mix:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Per source: its size, target and slots (rows as many as sources).
+    """Per source: its size, target, quota and slots (rows as many as sources).
 
     Sources in code point order, null last, have the weights in turn. Targets sum to the
     total size; none is above `most` times its source's size: the level L that fills
     min(most * size, L * weight) up to the total is the largest of the levels that the
-    sources in order of most * size / weight would need. length is the words of a slot of
-    the source, lo to hi its part of the unit interval, n_slots the slots of all sources.
+    sources in order of most * size / weight would need. Quotas are targets rounded down,
+    and up for the largest remainders (ties: the first source) until the total is met.
+    lo is the source's first place among the slots of all.
     """
-    found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     named = Window.orderBy(F.col("source").asc_nulls_last())
     found = found.withColumn("sid", F.row_number().over(named) - 1)
     turn = F.array(*map(F.lit, weights))
@@ -72,19 +79,34 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     found = found.withColumn("level", level).withColumn("total", total)
     found = found.withColumn("target", F.least("cap", F.max("level").over(every) * F.col("weight")))
-    # slots of the usual length count their words, shorter ones as if they had as many
-    usual = F.least(F.lit(BLOCK), F.floor(F.col("total") / (SLOTS_A_SOURCE * F.count("*").over(every))))
-    found = found.withColumn("usual", F.greatest(F.lit(1), usual).cast("long"))
-    found = found.withColumn("length", F.greatest(F.lit(1), F.least("usual", F.floor(F.col("source_size") / PARTS))).cast("long"))
-    found = found.withColumn("weighed", F.col("target") * (F.col("usual") / F.col("length")))
-    placed = Window.orderBy("sid")
-    added = F.sum(F.col("weighed") - F.col("target")).over(placed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    found = found.withColumn("added", added)
-    share = F.coalesce(F.sum("weighed").over(placed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    found = found.withColumn("lo", F.when(F.col("total") > 0, share / (F.col("total") + F.col("added"))).otherwise(0.0))
-    found = found.withColumn("hi", F.coalesce(F.lead("lo").over(placed), F.lit(2.0)))
-    n_slots = F.ceil((F.col("total") + F.ceil("added")) / F.col("usual")).cast("long")
-    return found.select("sid", "source", "source_size", "target", "length", "lo", "hi", n_slots.alias("n_slots"))
+    # a remainder of rounding is no remainder: targets that are whole numbers stay
+    down = F.floor(F.col("target") + 1e-6)
+    found = found.withColumn("down", down).withColumn("open", F.col("total") - F.sum("down").over(every))
+    nth = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("target") - F.col("down"), 6)), "sid"))
+    found = found.withColumn("quota", F.least(F.col("down") + (nth <= F.col("open")).cast("long"), F.col("source_size") * most))
+    n_slots = F.greatest(F.ceil(F.col("quota") / BLOCK), F.least("quota", F.lit(PARTS))).cast("long")
+    found = found.withColumn("n_slots", n_slots)
+    lo = F.sum("n_slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1))
+    return found.select("sid", "source", "source_size", "rows", "target", "quota", "n_slots", F.coalesce(lo, F.lit(0)).alias("lo"))
+
+
+def golden_step(n: int) -> int:
+    """The step g of the lattice of n places: prime to n and the nearest such to n / 1.618..."""
+    near = round(n * GOLDEN)
+    return next((g for d in range(n + 1) for g in (near + d, near - d) if 0 < g < n and gcd(g, n) == 1), 1)
+
+
+def _rank_of(word: Column) -> Column:
+    """The block of a source's ring that holds a word of its quota: the first quota % n_slots
+    blocks have a word more than the others."""
+    short, longer = F.floor(F.col("quota") / F.col("n_slots")), F.col("quota") % F.col("n_slots")
+    ahead = longer * (short + 1)
+    return F.when(word < ahead, F.floor(word / (short + 1))).otherwise(longer + F.floor((word - ahead) / F.greatest(short, F.lit(1))))
+
+
+def _first_of(rank: Column) -> Column:
+    short, longer = F.floor(F.col("quota") / F.col("n_slots")), F.col("quota") % F.col("n_slots")
+    return rank * short + F.least(rank, longer)
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> Mix:
@@ -93,28 +115,32 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("uid"))
     sizes = written(sizes, "sizes")
     sources = written(targets(sizes, weights, most), "sources")
-    n_slots = sources.agg(F.coalesce(F.max("n_slots"), F.lit(0))).first()[0]
-    rows = sizes.count()
-
-    # slots to sources: strips of the unit interval make the range join an equi-join
-    slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("u", (F.col("slot") * GOLDEN) % 1.0)
-    strip = F.sequence(F.floor(F.col("lo") * STRIPS), F.floor(F.least("hi", F.lit(1.0)) * STRIPS))
-    ranges = sources.where("hi > lo and source_size > 0").select("sid", "lo", "hi", "source_size", "length", F.explode(strip).alias("strip"))
-    slots = slots.withColumn("strip", F.floor(F.col("u") * STRIPS)).join(ranges, "strip").where("u >= lo and u < hi")
+    n_slots = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+
+    # places to sources: strips of the places make the range join an equi-join
+    step, wide = golden_step(n_slots), max(1, -(-n_slots // STRIPS))
+    # t * step mod n without a product beyond 64 bits: t in two halves
+    high, low = F.floor(F.col("slot") / CHUNK), F.col("slot") % CHUNK
+    place = (high % max(1, n_slots) * (step * CHUNK % max(1, n_slots)) + low * step) % max(1, n_slots)
+    if n_slots >= 1 << 31:
+        place = (high.cast("decimal(19,0)") * (step * CHUNK % n_slots) + low * step).cast("decimal(38,0)") % n_slots
+    slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("place", place.cast("long"))
+    ends = sources.where("n_slots > 0").withColumn("hi", F.col("lo") + F.col("n_slots"))
+    strip = F.sequence(F.floor(F.col("lo") / wide), F.floor((F.col("hi") - 1) / wide))
+    ranges = ends.select("sid", "lo", "hi", F.explode(strip).alias("strip"))
+    slots = slots.withColumn("strip", F.floor(F.col("place") / wide)).join(ranges, "strip").where("place >= lo and place < hi")
     slots = slots.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     totals = slots.groupBy("sid", "chunk").count()
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sid", "chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
-    slots = slots.join(totals, ["sid", "chunk"]).withColumn("rank", rank)
-    blocks = F.ceil(F.col("source_size") / F.col("length"))
-    slots = slots.withColumn("pass", F.floor(F.col("rank") / blocks)).withColumn("block", F.col("rank") % blocks)
-    slots = slots.where(F.col("pass") < most).select("slot", "sid", "rank", "pass", "block")
+    slots = slots.join(totals, ["sid", "chunk"]).select("slot", "sid", rank.alias("rank"))
 
-    # documents to places: shuffled by digest, offsets within bounded buckets
-    laid = sizes.where("size > 0").join(sources.select("sid", "length", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
+    # documents to places of the ring: shuffled by digest, offsets within bounded buckets
+    known = sources.select("sid", "source_size", "rows", "quota", "n_slots", F.col("source").alias("s"))
+    laid = sizes.where("size > 0").join(known, F.col("source").eqNullSafe(F.col("s")))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    buckets = max(1, rows // BUCKET_ROWS)
+    buckets = F.ceil(F.col("rows") / BUCKET_ROWS)
     laid = laid.withColumn("digest", digest).withColumn(
         "bucket", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * buckets / float(1 << 32))
     )
@@ -123,24 +149,29 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("sid", "bucket").orderBy("digest", "doc_id", "size", "uid")
     first = F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = laid.join(sums, ["sid", "bucket"]).withColumn("first", first).withColumn("last", F.col("first") + F.col("size"))
-    length = F.col("length")
-    spread = F.sequence(F.floor(F.col("first") / length), F.floor((F.col("last") - 1) / length))
-    pieces = laid.select("uid", "sid", "first", "last", "length", F.explode(spread).alias("block"))
-    words = F.least("last", (F.col("block") + 1) * length) - F.greatest("first", F.col("block") * length)
-    return Mix(sizes, sources, slots, pieces.select("uid", "sid", "block", words.alias("words")))
+    laid = laid.join(sums, ["sid", "bucket"]).withColumn("first", first)
+    # once for every time that the ring goes round before the quota ends
+    rounds = F.floor((F.col("quota") - 1 - F.col("first")) / F.col("source_size"))
+    laid = laid.where("first < quota").withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), rounds)))
+    laid = laid.withColumn("from", F.col("round") * F.col("source_size") + F.col("first")).withColumn("to", F.least("quota", F.col("from") + F.col("size")))
+    spread = F.sequence(_rank_of(F.col("from")), _rank_of(F.col("to") - 1))
+    pieces = laid.select("uid", "sid", "from", "to", "quota", "n_slots", F.explode(spread).alias("rank"))
+    words = F.least("to", _first_of(F.col("rank") + 1)) - F.greatest("from", _first_of(F.col("rank")))
+    return Mix(sizes, sources, slots, pieces.select("uid", "sid", "rank", words.alias("words")))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Per row of `docs`: doc_id, source, size, source_size, target (of its source) and taken.
 
     taken: words of the document that the mix takes, repeats counted; never above `most`
-    times its size. Null and empty texts have size 0 and are not taken. Null sources are a
-    source of their own, last in order. Repeated doc_ids keep a row each; reruns agree.
-    An empty table, or one without words, takes nothing.
+    times its size, and of a source in all its target rounded to a whole number. Null and
+    empty texts have size 0 and are not taken. Null sources are a source of their own, last
+    in order. Repeated doc_ids keep a row each; reruns agree, but for which of two rows
+    equal in doc_id and size is the one that a ring ends in. An empty table, or one without
+    words, takes nothing.
     """
     mix = mixture(docs, weights, most)
-    taken = mix.pieces.join(mix.slots.select("sid", "block"), ["sid", "block"]).groupBy("uid").agg(F.sum("words").alias("taken"))
+    taken = mix.pieces.join(mix.slots.select("sid", "rank"), ["sid", "rank"]).groupBy("uid").agg(F.sum("words").alias("taken"))
     by_source = mix.sources.select(F.col("source").alias("s"), "source_size", F.col("target").cast("double"))
     found = mix.sizes.join(by_source, F.col("source").eqNullSafe(F.col("s"))).join(taken, "uid", "left")
     return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
