@@ -72,42 +72,45 @@ FROM f
 
 
 def _op3() -> str:
-    """Counts and estimates document by document: ranks stand for the cumulative cell weights."""
+    """Counts and estimates document by document; every concentration step is spelled out.
+
+    1.4120... is 0.75 over the chi-square (7 degrees) share within the 0.75 quantile of 5.
+    """
     p = range(1, 6)
-    ridge = (0.25, 0.08, 0.5, 0.5, 0.5)
+    pairs = [(i, j) for i in p for j in p if j <= i]
+    ridge = (6.25, 0.64, 25.0, 25.0, 25.0)
     xs = ", ".join(f"x{i}" for i in p)
 
-    def estimate(source: str, name: str) -> str:
-        mean = ", ".join(f"sum(x{i}) / count(*) AS m{i}" for i in p)
-        cross = ", ".join(f"sum(x{i} * x{j}) / count(*) AS q{i}{j}" for i in p for j in p if j <= i)
-        cov = ", ".join(f"(q{i}{j} - m{i} * m{j}) / 0.62::DOUBLE{f' + {ridge[i - 1] ** 2}::DOUBLE' if i == j else ''} AS c{i}{j}" for i in p for j in p if j <= i)
-        parts = [f"{name}_0 AS (SELECT g, {mean}, {cross} FROM {source} GROUP BY g), {name}_c AS (SELECT g, {', '.join(f'm{i}' for i in p)}, {cov} FROM {name}_0)"]
-        last = f"{name}_c"
+    def factor() -> str:
+        """Cholesky by columns; each alias may use those before it."""
+        out = []
         for j in p:
             inner = "".join(f" - l{j}{k} * l{j}{k}" for k in range(1, j))
-            below = "".join(f", (c{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(1, j))}) / l{j}{j} AS l{i}{j}" for i in p if i > j)
-            parts.append(f"{name}_{j} AS (SELECT *, sqrt(greatest(c{j}{j}{inner}, {ridge[j - 1] ** 2 / 100}::DOUBLE)) AS l{j}{j} FROM {last})")
-            parts.append(f"{name}_{j}b AS (SELECT *{below} FROM {name}_{j})")
-            last = f"{name}_{j}b"
-        parts.append(f"{name} AS (SELECT * FROM {last})")
-        return ", ".join(parts)
-
-    def distance(source: str, fit: str, name: str) -> str:
-        parts, last = [], f"(SELECT v.doc_id, v.g, v.level, v.size, {', '.join(f'v.x{i}' for i in p)}, f.* EXCLUDE (g) FROM {source} v JOIN {fit} f USING (g))"
-        for i in p:
-            inner = " + ".join(["0.0::DOUBLE", *(f"l{i}{k} * z{k}" for k in range(1, i))])
-            parts.append(f"{name}_z{i} AS (SELECT *, (x{i} - m{i} - ({inner})) / l{i}{i} AS z{i} FROM {last})")
-            last = f"{name}_z{i}"
-        parts.append(f"{name} AS (SELECT doc_id, g, level, size, {xs}, round({' + '.join(f'z{i} * z{i}' for i in p)}, 6) AS d FROM {last})")
-        return ", ".join(parts)
-
-    def inner(source: str, name: str) -> str:
-        return f"{name} AS (SELECT * EXCLUDE (r) FROM (SELECT *, rank() OVER (PARTITION BY g ORDER BY d, {xs}) - 1 AS r FROM {source}) WHERE r < 0.75 * size)"
-
-    start = " + ".join(f"pow(x{i} - m{i}, 2) / (pow(1.4826::DOUBLE * a{i}, 2) + {ridge[i - 1] ** 2}::DOUBLE)" for i in p)
+            out.append(f"sqrt(greatest(c{j}{j}{inner}, {ridge[j - 1] / 100}::DOUBLE)) AS l{j}{j}")
+            out += [f"(c{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(1, j))}) / l{j}{j} AS l{i}{j}" for i in p if i > j]
+        return ", ".join(out)
+
+    def ridged(i: int, j: int) -> str:
+        return f" + {ridge[i - 1]}::DOUBLE" if i == j else ""
+
+    def estimate(scale: str) -> str:
+        means = ", ".join(f"s{i} / n::DOUBLE AS m{i}" for i in p)
+        cov = ", ".join(f"(q{i}{j}::DOUBLE - s{i}::DOUBLE * s{j} / n) / n * {scale}::DOUBLE{ridged(i, j)} AS c{i}{j}" for i, j in pairs)
+        return f"{means}, {cov}, {factor()}"
+
+    sums = f"{', '.join(f'sum(x{i}) AS s{i}' for i in p)}, {', '.join(f'sum(x{i} * x{j}) AS q{i}{j}' for i, j in pairs)}"
+    fit = f"{', '.join(f'm{i}' for i in p)}, {', '.join(f'l{i}{j}' for i, j in pairs)}"
+    z = ", ".join(f"(x{i} - m{i} - ({' + '.join(['0.0::DOUBLE', *(f'l{i}{k} * z{k}' for k in range(1, i))])})) / l{i}{i} AS z{i}" for i in p)
+    squared = " + ".join(f"z{i} * z{i}" for i in p)
+    sign = ", ".join(f"sum(round(z{i} * z{j} / greatest({squared}, 1e-12::DOUBLE) * 1000000)::BIGINT) AS q{i}{j}" for i, j in pairs)
+    flat = ", ".join(f"r{i} AS l{i}{j}" if i == j else f"0.0::DOUBLE AS l{i}{j}" for i, j in pairs)
+    signed = ", ".join(f"q{i}{j} / 1000000::DOUBLE / n * 5 * r{i} * r{j}{ridged(i, j)} AS c{i}{j}" for i, j in pairs)
     steps = []
-    for k in range(5):
-        steps += [estimate(f"near{k}", f"fit{k}"), distance("v", f"fit{k}", f"dist{k}"), inner(f"dist{k}", f"near{k + 1}")]
+    for k in range(12):
+        steps.append(f"""
+b{k} AS MATERIALIZED (SELECT g, start, shell, max(size) AS size, count(*) AS n, {sums} FROM (SELECT v.*, start, {z}, least(floor(sqrt({squared}) * 64), 4095)::INT AS shell FROM v JOIN f{k} USING (g)) GROUP BY g, start, shell),
+i{k} AS (SELECT * FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY g, start ORDER BY shell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b{k}) WHERE before < 0.75::DOUBLE * size),
+f{k + 1} AS MATERIALIZED (SELECT g, start, {estimate('1.41207106018905')} FROM (SELECT g, start, sum(n) AS n, {', '.join(f'sum(s{i}) AS s{i}' for i in p)}, {', '.join(f'sum(q{i}{j}) AS q{i}{j}' for i, j in pairs)} FROM i{k} GROUP BY g, start))""")
     return f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
@@ -116,16 +119,23 @@ twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id),
 b AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
-x AS (SELECT *, round(ln(1 + n_words) / 2 * 10) / 10 AS x1, round(word_chars / greatest(n_words, 1)::DOUBLE * 10) / 10 AS x2, round(ln(1 + 200.0::DOUBLE * n_symbols / greatest(word_chars, 1)) * 10) / 10 AS x3,
-  round(ln(1 + n_dup_lines) * 10) / 10 AS x4, round(ln(1 + 20.0::DOUBLE * n_repeat_words / greatest(n_words, 1)) * 10) / 10 AS x5 FROM b),
+x AS (SELECT *, least(round(ln(1 + n_words) / 2 * 10), 10000)::BIGINT AS x1, least(round(word_chars / greatest(n_words, 1)::DOUBLE * 10), 10000)::BIGINT AS x2,
+  least(round(ln(1 + 200.0::DOUBLE * n_symbols / greatest(word_chars, 1)) * 10), 10000)::BIGINT AS x3, least(round(ln(1 + n_dup_lines) * 10), 10000)::BIGINT AS x4,
+  least(round(ln(1 + 20.0::DOUBLE * n_repeat_words / greatest(n_words, 1)) * 10), 10000)::BIGINT AS x5 FROM b),
 g AS (SELECT doc_id, {xs}, 0 AS level, {{'k': 0, 'lang': lang, 'source': source}} AS g FROM x UNION ALL SELECT doc_id, {xs}, 1, {{'k': 1, 'lang': lang, 'source': NULL}} FROM x
   UNION ALL SELECT doc_id, {xs}, 2, {{'k': 2, 'lang': NULL, 'source': NULL}} FROM x),
-v AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY g) AS size FROM g) WHERE size >= 100),
+v AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY g) AS size FROM g) WHERE size >= 100),
 mid AS (SELECT g, {', '.join(f'quantile_cont(x{i}, 0.5) AS m{i}' for i in p)} FROM v GROUP BY g),
-dev AS (SELECT v.g, {', '.join(f'any_value(m{i}) AS m{i}, quantile_cont(abs(x{i} - m{i}), 0.5) AS a{i}' for i in p)} FROM v JOIN mid USING (g) GROUP BY v.g),
-dist AS (SELECT v.*, round({start}, 6) AS d FROM v JOIN dev USING (g)),
-{inner('dist', 'near0')}, {', '.join(steps)},
-last AS (SELECT doc_id, arg_min(d, level) AS d FROM dist4 GROUP BY doc_id)
+dev AS (SELECT g, {', '.join(f'm{i}' for i in p)}, {', '.join(f'sqrt(pow(1.4826::DOUBLE * a{i}, 2) + {ridge[i - 1]}::DOUBLE) AS r{i}' for i in p)} FROM
+  (SELECT v.g, {', '.join(f'any_value(m{i}) AS m{i}, quantile_cont(abs(x{i} - m{i}), 0.5) AS a{i}' for i in p)} FROM v JOIN mid USING (g) GROUP BY v.g)),
+sg AS (SELECT g, count(*) AS n, {', '.join(f'any_value(m{i}) AS m{i}, any_value(r{i}) AS r{i}' for i in p)}, {sign} FROM (SELECT *, {', '.join(f'(x{i} - m{i}) / r{i} AS z{i}' for i in p)} FROM v JOIN dev USING (g)) GROUP BY g),
+f0 AS MATERIALIZED (SELECT g, 0 AS start, {', '.join(f'm{i}' for i in p)}, {flat} FROM dev
+  UNION ALL SELECT g, 1, {fit} FROM (SELECT g, {estimate('1.0')} FROM (SELECT g, count(*) AS n, {sums} FROM v GROUP BY g))
+  UNION ALL SELECT g, 2, {fit} FROM (SELECT g, {', '.join(f'm{i}' for i in p)}, {factor()} FROM (SELECT *, {signed} FROM sg))),
+{', '.join(steps)},
+best AS (SELECT g, {fit} FROM f12 QUALIFY row_number() OVER (PARTITION BY g ORDER BY {' * '.join(f'(l{i}{i} * l{i}{i})' for i in p)}, start) = 1),
+dist AS (SELECT doc_id, level, {z}, round({squared}, 6) AS d FROM v JOIN best USING (g)),
+last AS (SELECT doc_id, arg_min(d, level) AS d FROM dist GROUP BY doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(d, 0) <= 36 AS kept FROM b LEFT JOIN last USING (doc_id)
 """

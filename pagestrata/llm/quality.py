@@ -1,13 +1,20 @@
 """Quality rules: base counts, and robust multivariate outliers by language and source.
 
-Each text's statistics become a vector of transformed, rounded coordinates. Equal vectors
-of a group are one weighted cell, so the estimates work on a histogram whose size is set
-by the grid and not by the number of documents. Per group a minimum-covariance-determinant
-estimate is found by concentration steps: from coordinate medians and deviations, the
-nearest cells that hold `SHARE` of the weight give a mean and a covariance, those give new
-distances, and so on. A cell whose squared Mahalanobis distance from the final estimate is
-above `CUTOFF` is an outlier. Groups of fewer than `LEAST` documents use their language's
-estimate, and that failing, the estimate over all documents.
+Each text's statistics become a vector of whole numbers, transformed coordinates on a grid.
+Equal vectors of a group are one weighted cell. Per group the minimum-covariance-determinant
+estimate is sought by concentration steps from several deterministic starts: coordinate
+medians and deviations, the mean and covariance of all, and the covariance of spatial signs.
+A step takes the nearest vectors that hold `SHARE` of the weight, whole shells of the width
+1 / SHELLS at a time, and makes a mean and a covariance of them; steps end when no group's
+subset changes. Of each group's results the one with the smallest determinant stays. A
+vector whose squared Mahalanobis distance from it is above `CUTOFF` is an outlier. Groups of
+fewer than `LEAST` documents use their language's estimate, and that failing, the estimate
+over all documents.
+
+A step is one aggregation of weights, sums and products by group, start and shell, added up
+before the shuffle; no task sees the vectors of a group together, however hot it is, and what
+is ranked are at most MOST_SHELLS rows a group and start. All sums are of whole numbers, so
+reruns agree to the last bit.
 
 DataFrame functions only.
 """
@@ -15,6 +22,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 from functools import reduce
+from math import erf, exp, gamma, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,16 +32,43 @@ from .store import written
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SHARE = 0.75
-STEPS = 4
+#: Steps at most; a start that has not come to rest by then is judged as it is.
+STEPS = 12
 LEAST = 100
 #: About the 1 - 1e-6 quantile of chi-square with as many degrees as coordinates.
 CUTOFF = 36.0
-#: Added to each variance: a coordinate that hardly varies still allows this spread squared.
-RIDGE = (0.25, 0.08, 0.5, 0.5, 0.5)
-#: Variance of the inner SHARE of a normal sample against the whole (five coordinates).
-SHRINK = 0.62
-GRID = 10.0
+GRID = 10
+#: No coordinate is above this many steps of the grid.
+HIGHEST = 10_000
+#: Added to each variance, in steps of the grid squared: a coordinate that hardly varies
+#: still allows this spread (a regularized covariance).
+RIDGE = (2.5, 0.8, 5.0, 5.0, 5.0)
+SHELLS, MOST_SHELLS = 64, 4096
 COORDINATES = ("x1", "x2", "x3", "x4", "x5")
+_P = range(len(COORDINATES))
+_PAIRS = [(i, j) for i in _P for j in _P if j <= i]
+_MOMENTS = ["n", *(f"s_{i}" for i in _P), *(f"q_{i}_{j}" for i, j in _PAIRS)]
+_FIT = [*(f"m_{i}" for i in _P), *(f"l_{i}_{j}" for i, j in _PAIRS)]
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """Distribution function of chi-square with an odd number of degrees."""
+    found = erf(sqrt(x / 2))
+    for k in range(1, degrees, 2):
+        found -= exp(-x / 2) * (x / 2) ** (k / 2) / gamma(k / 2 + 1)
+    return found
+
+
+def consistency(share: float, degrees: int) -> float:
+    """What the covariance of the inner `share` of a normal sample is short of the whole's."""
+    low, high = 0.0, 200.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < share else (low, middle)
+    return share / chi_square(low, degrees + 2)
+
+
+FACTOR = consistency(SHARE, len(COORDINATES))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -96,7 +131,7 @@ def base_failed() -> Column:
 
 
 def coordinates() -> list[Column]:
-    """The transformed statistics, on a grid of 1 / GRID."""
+    """The transformed statistics, in steps of 1 / GRID."""
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     raw = (
         F.log1p(F.col("n_words")) / 2,
@@ -105,7 +140,7 @@ def coordinates() -> list[Column]:
         F.log1p(F.col("n_dup_lines")),
         F.log1p(20.0 * F.col("n_repeat_words") / words),
     )
-    return [(F.round(x * GRID) / GRID).alias(c) for x, c in zip(raw, COORDINATES, strict=True)]
+    return [F.least(F.round(x * GRID), F.lit(float(HIGHEST))).cast("long").alias(c) for x, c in zip(raw, COORDINATES, strict=True)]
 
 
 def _levels() -> Column:
@@ -122,66 +157,100 @@ def _distance(at: list[Column], low: dict[tuple[int, int], Column]) -> Column:
     return reduce(lambda a, b: a + b, [v * v for v in z])
 
 
-def _estimate(subset: DataFrame) -> DataFrame:
-    """Per group: mean m_i and the Cholesky factor l_i_j of the covariance plus the ridge."""
-    p = range(len(COORDINATES))
-    w = F.col("w")
-    sums = [F.sum(w * F.col(COORDINATES[i])).alias(f"s_{i}") for i in p]
-    sums += [F.sum(w * F.col(COORDINATES[i]) * F.col(COORDINATES[j])).alias(f"s_{i}_{j}") for i in p for j in p if j <= i]
-    found = subset.groupBy("g").agg(F.sum("w").alias("n"), *sums)
-    found = found.select("g", "n", *(F.expr(f"s_{i} / n").alias(f"m_{i}") for i in p), *(F.col(f"s_{i}_{j}") for i in p for j in p if j <= i))
-    covariance = [
-        (F.expr(f"(s_{i}_{j} / n - m_{i} * m_{j}) / {SHRINK}") + (F.lit(RIDGE[i] ** 2) if i == j else F.lit(0.0))).alias(f"c_{i}_{j}")
-        for i in p for j in p if j <= i
-    ]
-    found = found.select("g", *(f"m_{i}" for i in p), *covariance)
-    for j in p:
+def _moments(w: Column) -> list[Column]:
+    """Weight, sums and sums of products of the rows, as whole numbers."""
+    x = [F.col(c) for c in COORDINATES]
+    return [F.sum(w).alias("n"), *(F.sum(w * x[i]).alias(f"s_{i}") for i in _P), *(F.sum(w * x[i] * x[j]).alias(f"q_{i}_{j}") for i, j in _PAIRS)]
+
+
+def _factored(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, m_i and the Cholesky factor l_i_j of the covariance c_i_j."""
+    for j in _P:
         inner = "".join(f" - l_{j}_{k} * l_{j}_{k}" for k in range(j))
-        found = found.withColumn(f"l_{j}_{j}", F.expr(f"sqrt(greatest(c_{j}_{j}{inner}, {RIDGE[j] ** 2 / 100}))"))
-        below = {f"l_{i}_{j}": F.expr(f"(c_{i}_{j}{''.join(f' - l_{i}_{k} * l_{j}_{k}' for k in range(j))}) / l_{j}_{j}") for i in p if i > j}
+        found = found.withColumn(f"l_{j}_{j}", F.expr(f"sqrt(greatest(c_{j}_{j}{inner}, {RIDGE[j] ** 2 / 100}D))"))
+        below = {f"l_{i}_{j}": F.expr(f"(c_{i}_{j}{''.join(f' - l_{i}_{k} * l_{j}_{k}' for k in range(j))}) / l_{j}_{j}") for i in _P if i > j}
         found = found.withColumns(below) if below else found
-    return found.select("g", *(f"m_{i}" for i in p), *(f"l_{i}_{j}" for i in p for j in p if j <= i))
+    return found.select(*keys, *_FIT)
 
 
-def _measured(cells: DataFrame, estimate: DataFrame) -> DataFrame:
-    p = range(len(COORDINATES))
-    found = cells.join(estimate, "g")
-    low = {(i, j): F.col(f"l_{i}_{j}") for i in p for j in p if j <= i}
-    squared = _distance([F.col(COORDINATES[i]) - F.col(f"m_{i}") for i in p], low)
-    return found.select("g", "w", "size", *COORDINATES, F.round(squared, 6).alias("d"))
+def _estimate(moments: DataFrame, keys: list[str], factor: float = FACTOR) -> DataFrame:
+    means = [F.expr(f"s_{i} / cast(n as double)").alias(f"m_{i}") for i in _P]
+    covariance = [
+        F.expr(f"(q_{i}_{j} - cast(s_{i} as double) * s_{j} / n) / n * {factor!r}D" + (f" + {RIDGE[i] ** 2}D" if i == j else "")).alias(f"c_{i}_{j}")
+        for i, j in _PAIRS
+    ]
+    return _factored(moments.select(*keys, *means, *covariance), keys)
 
 
-def _nearest(measured: DataFrame) -> DataFrame:
-    """The nearest cells of each group, up to SHARE of its weight and past it by a cell at most."""
-    order = Window.partitionBy("g").orderBy("d", *COORDINATES).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("w").over(order), F.lit(0))
-    return measured.withColumn("before", before).where(F.col("before") < SHARE * F.col("size"))
+def _measured(rows: DataFrame) -> Column:
+    """The squared Mahalanobis distance of rows that have coordinates, m_i and l_i_j."""
+    low = {(i, j): F.col(f"l_{i}_{j}") for i, j in _PAIRS}
+    return _distance([F.col(COORDINATES[i]) - F.col(f"m_{i}") for i in _P], low)
 
 
-def outlying_cells(counts: DataFrame) -> DataFrame:
-    """Per (lang, source, coordinates) of `counts` that occurs: the squared distance d."""
-    keys = ["lang", "source", *COORDINATES]
-    base = counts.select("lang", "source", *coordinates()).groupBy(*keys).agg(F.count("*").alias("w"))
-    base = written(base.withColumn("gs", _levels()), "cells")
-    cells = base.select("w", *COORDINATES, F.explode("gs").alias("g")).groupBy("g", *COORDINATES).agg(F.sum("w").alias("w"))
-    cells = written(cells.withColumn("size", F.sum("w").over(Window.partitionBy("g"))).where(F.col("size") >= LEAST), "grouped")
-    # the start: medians and deviations of each coordinate
+def _starts(cells: DataFrame) -> DataFrame:
+    """(g, start, m_i, l_i_j): the estimates that concentration begins with."""
     middle = cells.groupBy("g").agg(*(F.expr(f"percentile({c}, 0.5D, w)").alias(f"m_{i}") for i, c in enumerate(COORDINATES)))
-    spread = cells.join(middle, "g").groupBy("g").agg(
-        *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(COORDINATES))),
+    apart = cells.join(middle, "g")
+    spread = apart.groupBy("g").agg(
+        *(F.first(f"m_{i}").alias(f"m_{i}") for i in _P),
         *(F.expr(f"percentile(abs({c} - m_{i}), 0.5D, w)").alias(f"a_{i}") for i, c in enumerate(COORDINATES)),
     )
-    squared = reduce(
-        lambda a, b: a + b,
-        [F.expr(f"pow({c} - m_{i}, 2) / (pow(1.4826D * a_{i}, 2) + {RIDGE[i] ** 2})") for i, c in enumerate(COORDINATES)],
+    scale = [F.expr(f"sqrt(pow(1.4826D * a_{i}, 2) + {RIDGE[i] ** 2}D)").alias(f"r_{i}") for i in _P]
+    spread = written(spread.select("g", *(f"m_{i}" for i in _P), *scale), "spread")
+    flat = [(F.col(f"r_{i}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in _PAIRS]
+    medians = spread.select("g", F.lit(0).alias("start"), *(f"m_{i}" for i in _P), *flat)
+    everything = _estimate(cells.groupBy("g").agg(*_moments(F.col("w"))), ["g"], 1.0).withColumn("start", F.lit(1))
+    # directions from the medians, each of the same length; products in millionths
+    signs = cells.join(spread, "g")
+    signs = signs.select("g", "w", *(f"m_{i}" for i in _P), *(f"r_{i}" for i in _P), *(F.expr(f"(x{i + 1} - m_{i}) / r_{i}").alias(f"z_{i}") for i in _P))
+    length = F.expr(" + ".join(f"z_{i} * z_{i}" for i in _P))
+    product = {(i, j): F.expr(f"cast(round(z_{i} * z_{j} / greatest(length, 1e-12D) * 1000000) as bigint) * w") for i, j in _PAIRS}
+    signs = signs.withColumn("length", length).groupBy("g").agg(
+        F.sum("w").alias("n"), *(F.first(f"{c}_{i}").alias(f"{c}_{i}") for c in "mr" for i in _P), *(F.sum(product[i, j]).alias(f"q_{i}_{j}") for i, j in _PAIRS)
     )
-    nearest = _nearest(cells.join(spread, "g").select("g", "w", "size", *COORDINATES, F.round(squared, 6).alias("d")))
+    covariance = [F.expr(f"q_{i}_{j} / 1000000D / n * {len(COORDINATES)} * r_{i} * r_{j}" + (f" + {RIDGE[i] ** 2}D" if i == j else "")).alias(f"c_{i}_{j}") for i, j in _PAIRS]
+    signs = _factored(signs.select("g", *(f"m_{i}" for i in _P), *covariance), ["g"]).withColumn("start", F.lit(2))
+    return medians.unionByName(everything).unionByName(signs)
+
+
+def _concentrated(cells: DataFrame, fit: DataFrame) -> DataFrame:
+    """(g, start, moments) of the nearest vectors of each group and start."""
+    rows = cells.join(fit, "g")
+    shell = F.least(F.floor(F.sqrt(_measured(rows)) * SHELLS), F.lit(MOST_SHELLS - 1)).cast("int")
+    shells = rows.withColumn("shell", shell).groupBy("g", "start", "shell").agg(F.max("size").alias("size"), *_moments(F.col("w")))
+    order = Window.partitionBy("g", "start").orderBy("shell").rowsBetween(Window.unboundedPreceding, -1)
+    inner = shells.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < SHARE * F.col("size"))
+    return inner.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in _MOMENTS))
+
+
+def estimates(cells: DataFrame) -> DataFrame:
+    """(g, m_i, l_i_j): per group of `cells` (g, size, w, coordinates) the estimate with the
+    smallest determinant; of equal ones the first start's."""
+    keys = ["g", "start"]
+    fit, last = written(_starts(cells), "starts"), None
     for _ in range(STEPS):
-        nearest = _nearest(_measured(cells, _estimate(nearest)))
-    final = written(_measured(cells, _estimate(nearest)).select("g", *COORDINATES, "d"), "distances")
-    # the finest group that has an estimate
-    each = base.select(*keys, F.posexplode("gs").alias("level", "g")).join(final, ["g", *COORDINATES])
-    return each.groupBy(*keys).agg(F.min_by("d", "level").alias("d"))
+        subset = written(_concentrated(cells, fit), "subsets")
+        fit = _estimate(subset, keys)
+        if last is not None and subset.join(last, [*keys, *_MOMENTS], "left_anti").isEmpty():
+            break
+        last = subset
+    determinant = reduce(lambda a, b: a * b, [F.col(f"l_{i}_{i}") * F.col(f"l_{i}_{i}") for i in _P])
+    best = F.min_by(F.struct(*_FIT), F.struct(determinant.alias("d"), F.col("start"))).alias("fit")
+    return fit.groupBy("g").agg(best).select("g", "fit.*")
+
+
+def estimated(counts: DataFrame) -> DataFrame:
+    """Per (lang, source) of `counts`: the estimate of its finest group that has one."""
+    cells = counts.select("lang", "source", *coordinates()).groupBy("lang", "source", *COORDINATES).agg(F.count("*").alias("w"))
+    cells = written(cells.withColumn("gs", _levels()), "cells")
+    pairs = cells.groupBy("lang", "source").agg(F.first("gs").alias("gs"))
+    grouped = cells.select("w", *COORDINATES, F.explode("gs").alias("g")).groupBy("g", *COORDINATES).agg(F.sum("w").alias("w"))
+    sizes = grouped.groupBy("g").agg(F.sum("w").alias("size")).where(F.col("size") >= LEAST)
+    found = written(estimates(written(grouped.join(sizes, "g"), "grouped")), "estimates")
+    each = pairs.select("lang", "source", F.posexplode("gs").alias("level", "g")).join(found, "g")
+    best = each.groupBy("lang", "source").agg(F.min_by(F.struct(*_FIT), "level").alias("fit"))
+    return best.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "fit.*")
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -191,14 +260,15 @@ def quality(docs: DataFrame) -> DataFrame:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance
     (null if no group has LEAST documents) and kept: neither base_failed nor an outlier.
     A null text is as an empty one; null languages and sources are groups of their own;
-    repeated rows stay; other columns are ignored; an empty table gives no rows.
+    repeated rows stay, and count each time; ties of distance lie in one shell and so are
+    taken together; very long texts are read in full; other columns are ignored; an empty
+    table gives no rows.
     """
     counts = written(base_counts(docs), "counts")
-    cells = outlying_cells(counts)
-    keys = ["lang", "source", *COORDINATES]
-    named = cells.select(*(F.col(k).alias(f"c_{k}") for k in keys), "d")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in keys])
-    found = counts.select("*", *coordinates()).join(named, same, "left")
+    fits = written(estimated(counts), "fits")
+    same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
+    found = counts.select("*", *coordinates()).join(fits, same, "left")
+    found = found.withColumn("d", F.round(_measured(found), 6))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"),

@@ -54,22 +54,75 @@ def test_outliers_of_groups(spark):
     assert sum(not found[k]["kept"] for k in found if k not in odd) <= 6
 
 
-def test_estimate_concentrates_as_numpy_does(spark):
+def cells_of(spark, groups):
+    rows = [(g, *map(int, r)) for g, x in groups.items() for r in x]
+    names = ", ".join(f"{c} long" for c in quality.COORDINATES)
+    cells = spark.createDataFrame(rows, f"g string, {names}").groupBy("g", *quality.COORDINATES).agg(F.count("*").alias("w"))
+    return cells.join(cells.groupBy("g").agg(F.sum("w").alias("size")), "g")
+
+
+def brute_mcd(x, starts=300, share=quality.SHARE):
+    """The smallest determinant (ridge included) that many random starts lead to."""
+    import numpy as np
+
+    rng, best = np.random.default_rng(5), None
+    h = -(-int(share * 100) * len(x) // 100)
+
+    def fit(y, factor):
+        return y.mean(0), np.cov(y.T, bias=True) * factor + np.diag(np.square(quality.RIDGE))
+
+    for _ in range(starts):
+        m, c = fit(x[rng.choice(len(x), 6, replace=False)], 1.0)
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            m, c = fit(x[np.argsort(d, kind="stable")[:h]], quality.FACTOR)
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c
+    return best
+
+
+def test_estimates_are_those_of_brute_force(spark):
     import numpy as np
 
     rng = np.random.default_rng(4)
-    x = np.round(np.concatenate([rng.normal(size=(400, 5)), rng.normal(size=(40, 5)) * 0.1 + 9]), 1)
-    rows = [("g", 1, len(x), *map(float, r)) for r in x]
-    names = ", ".join(f"{c} double" for c in quality.COORDINATES)
-    cells = spark.createDataFrame(rows, f"g string, w long, size long, {names}")
-    near = quality._nearest(quality._measured(cells, quality._estimate(cells)))
-    found = quality._estimate(near).first()
-    cov = lambda y: np.cov(y.T, bias=True) / quality.SHRINK + np.diag(np.square(quality.RIDGE))
-    d = np.einsum("ij,jk,ik->i", x - x.mean(0), np.linalg.inv(cov(x)), x - x.mean(0))
-    inner = x[np.lexsort((*x.T[::-1], np.round(d, 6)))[: int(0.75 * len(x))]]
-    assert np.allclose([found[f"m_{i}"] for i in range(5)], inner.mean(0))
-    low = np.linalg.cholesky(cov(inner))
-    assert np.allclose([found[f"l_{i}_{j}"] for i in range(5) for j in range(i + 1)], [low[i, j] for i in range(5) for j in range(i + 1)])
+    mix = rng.normal(size=(5, 5)) * 6
+    groups = {
+        "plain": rng.normal(size=(400, 5)) @ mix + 200,
+        "cluster": np.concatenate([rng.normal(size=(400, 5)) * 12 + 200, rng.normal(size=(90, 5)) * 2 + 330]),
+        "spread": np.concatenate([rng.normal(size=(300, 5)) @ mix + 200, rng.normal(size=(60, 5)) * 300 + 900]),
+    }
+    groups = {g: np.maximum(np.round(x), 0) for g, x in groups.items()}
+    for r in quality.estimates(cells_of(spark, groups)).collect():
+        x = groups[r["g"]]
+        least, m, c = brute_mcd(x)
+        low = np.zeros((5, 5))
+        for i, j in quality._PAIRS:
+            low[i, j] = r[f"l_{i}_{j}"]
+        # a shell more than share of the weight, so a slightly larger determinant at most
+        assert 0.9 * least <= np.prod(np.diag(low)) ** 2 <= 1.25 * least, r["g"]
+        d = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        ours = d(np.array([r[f"m_{i}"] for i in range(5)]), low @ low.T)
+        far = (ours > quality.CUTOFF) != (d(m, c) > quality.CUTOFF)
+        assert far.mean() < 0.01 and np.median(abs(ours / d(m, c) - 1)) < 0.1
+
+
+def test_several_starts_matter(spark):
+    import numpy as np
+
+    # a tight cluster of a fifth draws the mean and covariance of all, and not the medians
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate([rng.normal(size=(400, 5)) * 10 + 200, rng.normal(size=(100, 5)) + 260]))
+    r = quality.estimates(cells_of(spark, {"g": x})).first()
+    assert all(abs(r[f"m_{i}"] - 200) < 5 for i in range(5))
+
+
+def test_consistency_factor():
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(400_000, 5))
+    inner = x[np.argsort((x**2).sum(1))[: int(quality.SHARE * len(x))]]
+    assert inner.var(0).mean() * quality.FACTOR == pytest.approx(1, abs=0.01)
+    assert quality.chi_square(quality.CUTOFF, 5) == pytest.approx(1 - 1e-6, abs=2e-7)
 
 
 def test_quality_of_hard_rows(spark):
