@@ -21,7 +21,10 @@ from .store import written
 
 HASHES = 5
 BITS_A_KEY = 8
-MOST_BITS = 1 << 28
+#: Bits of one filter at most (512 MB), which the driver holds and sends to executors.
+MOST_BITS = 1 << 32
+#: A level must hold back this share of the keys that it shall hold back, or the search ends.
+LEAST_STOPPED = 0.25
 
 #: The query's rules (action, host, path).
 RULES = (
@@ -103,9 +106,9 @@ class Cascade:
 
 
 def _filter(keys: DataFrame, level: int) -> np.ndarray:
-    """The words of a filter of the keys; at most MOST_BITS, whatever their number."""
-    bits = 64
-    while bits < min(MOST_BITS, BITS_A_KEY * keys.count()):
+    """The words of a filter of the keys: it grows with their number, up to MOST_BITS."""
+    bits, n = 64, keys.count()
+    while bits < min(MOST_BITS, BITS_A_KEY * n):
         bits *= 2
     slots = keys.select(F.explode(F.array(*_slots(F.col("key"), level, bits))).alias("slot"))
     rows = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("flags")).toPandas()
@@ -126,16 +129,24 @@ def _let_through(keys: DataFrame, level: int, words: np.ndarray) -> DataFrame:
 
 
 def cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """A cascade for the keys of `universe` (key: string, distinct, no nulls) that are `listed`."""
+    """A cascade for the keys of `universe` (key: string, distinct, no nulls) that are `listed`.
+
+    Each level is a fiftieth or so of the one before the last, as long as filters have
+    BITS_A_KEY bits a key. A level too full to hold back LEAST_STOPPED of the keys fails.
+    """
     inside = written(universe.join(listed.select("key").distinct(), "key", "left_semi"), "listed")
     outside = written(universe.join(listed.select("key").distinct(), "key", "left_anti"), "unlisted")
     levels: list[np.ndarray] = []
     while True:
+        asked = outside.count()
         words = _filter(inside, len(levels))
         levels.append(words)
         passed = written(_let_through(outside, len(levels) - 1, words), "passed")
-        if passed.isEmpty():
+        through = passed.count()
+        if not through:
             return Cascade(levels)
+        if asked > 1000 and through > (1 - LEAST_STOPPED) * asked:
+            raise RuntimeError(f"level {len(levels)} lets through {through} of {asked} keys: too many keys for filters of {MOST_BITS} bits")
         inside, outside = passed, inside
 
 

@@ -38,6 +38,23 @@ def test_verdicts(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_long_urls_and_clashing_names(spark):
+    rows = [(1, "http://ads-track.example.com/" + "a" * 500_000, "h", "p", "r", "v"), (2, "http://" + "x." * 3000 + "spam-farm.example.net/", "h", "p", "r", "v")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, verdict string")
+    found = {r["page_id"]: r for r in url_filter.judged(docs).collect()}
+    assert found[1]["verdict"] == "allow" and found[1]["rule"] == "com/" and len(found[1]["path"]) == 500_001
+    assert found[2]["verdict"] == "block" and found[2]["rule"] is None
+
+
+def test_full_filters_fail(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(url_filter, "MOST_BITS", 256)
+    universe = spark.range(20_000).select(F.format_string("h%d.example", "id").alias("key"))
+    with pytest.raises(RuntimeError, match="too many keys"):
+        url_filter.cascade(universe, universe.where("key like '%1%'"))
+
+
 def test_cascade_is_exact_and_needs_levels(spark):
     universe = spark.range(20_000).select(F.format_string("h%d.example", "id").alias("key"))
     listed = spark.range(0, 40_000, 3).select(F.format_string("h%d.example", "id").alias("key"))
@@ -139,13 +156,18 @@ def test_archive_round_trip(spark, tmp_path):
     warc.write_archive(pages, folder)
     assert warc.payloads(spark, folder).count() == len({(r[2] or "") for r in rows})
     records = warc.records(spark, folder)
+    names, refers = [], set()
     for r in records.collect():
         head, body = bytes(r["record"]).split(b"\r\n\r\n", 1)
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and b"\nX: y" not in head
+        names.append(re.search(rb"WARC-Record-ID: (\S+)", head)[1])
+        refers |= set(re.findall(rb"WARC-Refers-To: (\S+)", head))
+        assert b":page:1:" not in names[-1] or b"WARC-Target-URI: http://a/%0D%0AX: y\r\n" in head
         length = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert body[length:] == b"\r\n\r\n"
         if b"Type: response" in head:
             assert hashlib.sha1(body[:length]).hexdigest().encode() in head
+    assert len(set(names)) == len(rows) and len(refers) == 1 and refers <= set(names)
     warc.as_files(records, str(tmp_path / "files"))
     written = b"".join(p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*")))
     assert sorted(written) == sorted(b"".join(bytes(r["record"]) for r in records.collect()))
