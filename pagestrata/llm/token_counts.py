@@ -80,24 +80,31 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 
 def quantiles(found: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, length): the least length that holds at least that share of the documents."""
+    """(share, length): the least length that holds at least that share of the documents;
+    null where there are none."""
     asked = found.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
-    total = found.agg(F.sum("n_docs").alias("total"))
-    rows = found.select("length", "docs_at_most").join(total).withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
+    total = F.col("docs_at_most") + F.col("docs_at_least") - F.col("n_docs")
+    rows = found.select("length", "docs_at_most", total.alias("total"), F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share"))
     least = rows.where(F.col("docs_at_most") >= F.col("share") * F.col("total")).groupBy("share").agg(F.min("length").alias("length"))
     return asked.join(least, "share", "left")
 
 
 def truncated_total(found: DataFrame, limit: int) -> int:
-    """Tokens left of all documents cut to any limit, from the histogram alone."""
-    total = found.agg(F.sum(F.least("length", F.lit(limit)) * F.col("n_docs"))).first()[0]
-    return int(total or 0)
+    """Tokens left of all documents cut to any limit: from the suffix sums of the first
+    length at or beyond it."""
+    every = F.col("truncated_tokens") + F.col("tokens_at_least") - F.col("length") * F.col("docs_at_least")
+    at = F.struct("length", (every - F.col("tokens_at_least") + limit * F.col("docs_at_least")).alias("cut"))
+    total, cut = found.agg(F.max(every), F.min(F.when(F.col("length") >= limit, at))["cut"]).first()
+    return int((total if cut is None else cut) or 0)
 
 
 def token_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """`histogram` of the encoded lengths of `docs` (doc_id, text).
+    """`histogram` of the encoded lengths of `docs` (doc_id, text), with `percent`: the whole
+    percents of all documents that are at most so long. The quantile of a percent is the
+    first length that reaches it.
 
     Nulls and empty texts count as length 0; an empty table gives no rows; other columns
     are ignored; repeated rows count each time.
     """
-    return histogram(encoded_lengths(docs, vocabulary))
+    found = histogram(encoded_lengths(docs, vocabulary))
+    return found.withColumn("percent", F.expr("docs_at_most * 100 div (docs_at_most + docs_at_least - n_docs)").cast("long"))

@@ -231,7 +231,10 @@ def test_token_histogram(spark):
         assert r["n_docs"] == lengths.count(at) and r["n_tokens"] == at * lengths.count(at)
         assert r["docs_at_most"] == sum(x <= at for x in lengths) and r["docs_at_least"] == sum(x >= at for x in lengths)
         assert r["tokens_at_least"] == sum(x for x in lengths if x >= at) and r["truncated_tokens"] == sum(min(x, at) for x in lengths)
-    assert token_counts.truncated_total(found, 3) == sum(min(x, 3) for x in lengths)
+        assert r["percent"] == 100 * sum(x <= at for x in lengths) // len(lengths)
+    for limit in (0, 1, 3, 10, max(lengths), max(lengths) + 5):
+        assert token_counts.truncated_total(found, limit) == sum(min(x, limit) for x in lengths)
+    assert token_counts.truncated_total(token_counts.token_histogram(empty(spark)), 5) == 0
     assert {r["share"]: r["length"] for r in token_counts.quantiles(found, [0.5, 1.0]).collect()} == {0.5: lengths[3], 1.0: lengths[-1]}
     assert token_counts.token_histogram(empty(spark)).count() == 0
     assert token_counts.token_histogram(hard(spark)).agg(F.sum("n_docs")).first()[0] == len(hard_rows())
