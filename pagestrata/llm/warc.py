@@ -84,12 +84,13 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rebuilt(spark: SparkSession, folder: str) -> DataFrame:
-    """(record: binary, payload: binary) of an archive: the exact original records, and the
-    full payload that each is about. A revisit's record has no body of its own."""
+    """(record: binary, start: int, payload: binary) of an archive: the exact original records,
+    where their bodies start, and the full payloads that they are about. A revisit's record
+    has no body of its own."""
     heads = spark.read.parquet(f"{folder}/records").join(payloads(spark, folder), "digest")
     own = F.contains(F.col("header").cast("string"), F.lit("\r\nWARC-Type: revisit\r\n"))
     body = F.when(own, F.lit(b"")).otherwise(F.col("payload"))
-    return heads.select(F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return heads.select(F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"), F.octet_length("header").alias("start"), "payload")
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,8 +114,8 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
 
     Fails where a body's length or digest is not what the record's header says.
     """
-    found = rebuilt(spark, folder).withColumn("head", F.concat(F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1), F.lit("\r\n")))
-    found = found.withColumns({"kind": field("WARC-Type"), "length": field("Content-Length").cast("long"), "start": F.octet_length("head") + 2})
+    found = rebuilt(spark, folder).withColumn("head", F.substring("record", F.lit(1), F.col("start")).cast("string"))
+    found = found.withColumns({"kind": field("WARC-Type"), "length": field("Content-Length").cast("long")})
     # after the header the body, then four bytes that end the record
     body = F.substring("record", F.col("start") + 1, F.octet_length("record") - F.col("start") - 4)
     found = found.withColumn("body", body).withColumn("full", F.when(F.col("kind") == "revisit", F.col("payload")).otherwise(F.col("body")))
