@@ -44,6 +44,8 @@ HIGHEST = 10_000
 #: still allows this spread (a regularized covariance).
 RIDGE = (2.5, 0.8, 5.0, 5.0, 5.0)
 SHELLS, MOST_SHELLS = 64, 4096
+#: Tables of up to this many groups (some 250 bytes a group and start) are broadcast.
+FEW = 20_000
 COORDINATES = ("x1", "x2", "x3", "x4", "x5")
 _P = range(len(COORDINATES))
 _PAIRS = [(i, j) for i in _P for j in _P if j <= i]
@@ -188,10 +190,16 @@ def _measured(rows: DataFrame) -> Column:
     return _distance([F.col(COORDINATES[i]) - F.col(f"m_{i}") for i in _P], low)
 
 
-def _starts(cells: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """Rows with what `groups` has for their group; hot groups stay where they are if there
+    are few groups."""
+    return rows.join(F.broadcast(groups) if few else groups, "g")
+
+
+def _starts(cells: DataFrame, few: bool) -> DataFrame:
     """(g, start, m_i, l_i_j): the estimates that concentration begins with."""
     middle = cells.groupBy("g").agg(*(F.expr(f"percentile({c}, 0.5D, w)").alias(f"m_{i}") for i, c in enumerate(COORDINATES)))
-    apart = cells.join(middle, "g")
+    apart = _met(cells, written(middle, "medians"), few)
     spread = apart.groupBy("g").agg(
         *(F.first(f"m_{i}").alias(f"m_{i}") for i in _P),
         *(F.expr(f"percentile(abs({c} - m_{i}), 0.5D, w)").alias(f"a_{i}") for i, c in enumerate(COORDINATES)),
@@ -202,7 +210,7 @@ def _starts(cells: DataFrame) -> DataFrame:
     medians = spread.select("g", F.lit(0).alias("start"), *(f"m_{i}" for i in _P), *flat)
     everything = _estimate(cells.groupBy("g").agg(*_moments(F.col("w"))), ["g"], 1.0).withColumn("start", F.lit(1))
     # directions from the medians, each of the same length; products in millionths
-    signs = cells.join(spread, "g")
+    signs = _met(cells, spread, few)
     signs = signs.select("g", "w", *(f"m_{i}" for i in _P), *(f"r_{i}" for i in _P), *(F.expr(f"(x{i + 1} - m_{i}) / r_{i}").alias(f"z_{i}") for i in _P))
     length = F.expr(" + ".join(f"z_{i} * z_{i}" for i in _P))
     product = {(i, j): F.expr(f"cast(round(z_{i} * z_{j} / greatest(length, 1e-12D) * 1000000) as bigint) * w") for i, j in _PAIRS}
@@ -214,9 +222,9 @@ def _starts(cells: DataFrame) -> DataFrame:
     return medians.unionByName(everything).unionByName(signs)
 
 
-def _concentrated(cells: DataFrame, fit: DataFrame) -> DataFrame:
+def _concentrated(cells: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     """(g, start, moments) of the nearest vectors of each group and start."""
-    rows = cells.join(fit, "g")
+    rows = _met(cells, fit, few)
     shell = F.least(F.floor(F.sqrt(_measured(rows)) * SHELLS), F.lit(MOST_SHELLS - 1)).cast("int")
     shells = rows.withColumn("shell", shell).groupBy("g", "start", "shell").agg(F.max("size").alias("size"), *_moments(F.col("w")))
     order = Window.partitionBy("g", "start").orderBy("shell").rowsBetween(Window.unboundedPreceding, -1)
@@ -224,13 +232,13 @@ def _concentrated(cells: DataFrame, fit: DataFrame) -> DataFrame:
     return inner.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in _MOMENTS))
 
 
-def estimates(cells: DataFrame) -> DataFrame:
+def estimates(cells: DataFrame, few: bool = False) -> DataFrame:
     """(g, m_i, l_i_j): per group of `cells` (g, size, w, coordinates) the estimate with the
     smallest determinant; of equal ones the first start's."""
     keys = ["g", "start"]
-    fit, last = written(_starts(cells), "starts"), None
+    fit, last = written(_starts(cells, few), "starts"), None
     for _ in range(STEPS):
-        subset = written(_concentrated(cells, fit), "subsets")
+        subset = written(_concentrated(cells, fit, few), "subsets")
         fit = _estimate(subset, keys)
         if last is not None and subset.join(last, [*keys, *_MOMENTS], "left_anti").isEmpty():
             break
@@ -247,8 +255,11 @@ def estimated(counts: DataFrame) -> DataFrame:
     pairs = cells.groupBy("lang", "source").agg(F.first("gs").alias("gs"))
     grouped = cells.select("w", *COORDINATES, F.explode("gs").alias("g")).groupBy("g", *COORDINATES).agg(F.sum("w").alias("w"))
     sizes = grouped.groupBy("g").agg(F.sum("w").alias("size")).where(F.col("size") >= LEAST)
-    found = written(estimates(written(grouped.join(sizes, "g"), "grouped")), "estimates")
-    each = pairs.select("lang", "source", F.posexplode("gs").alias("level", "g")).join(found, "g")
+    sizes = written(sizes, "sizes")
+    few = sizes.count() <= FEW
+    found = written(estimates(written(_met(grouped, sizes, few), "grouped"), few), "estimates")
+    each = pairs.select("lang", "source", F.posexplode("gs").alias("level", "g"))
+    each = _met(each, found, few)
     best = each.groupBy("lang", "source").agg(F.min_by(F.struct(*_FIT), "level").alias("fit"))
     return best.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "fit.*")
 
