@@ -30,7 +30,8 @@ def has(text: Column, part: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    # a run of white space is tried at its start alone: linear in the text
+    return F.regexp_replace(text, rf"\A[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
 
 
 def match_text(text: Column) -> Column:
@@ -38,16 +39,12 @@ def match_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WS}]+", " "))
 
 
-def normalize_line(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, "[ \t]+", " "), rf"[{WS}]+\z", "")
-
-
 def normalize_text(text: Column) -> Column:
     """Line ends to LF, special spaces to U+0020, runs of spaces and tabs to one space, no
     space before a line end or at either end of the text, at most one blank line in a row."""
     lf = F.regexp_replace(text, r"\r\n|\r", "\n")
     plain = F.translate(lf, SPACES, " " * len(SPACES))
-    tight = F.regexp_replace(F.regexp_replace(plain, "[ \t]+", " "), rf"[{WS_BUT_LF}]+(?=\n|\z)", "")
+    tight = F.regexp_replace(F.regexp_replace(plain, "[ \t]+", " "), rf"(?<![{WS_BUT_LF}])[{WS_BUT_LF}]++(?=\n|\z)", "")
     return F.regexp_replace(strip(tight), r"\n{3,}", "\n\n")
 
 

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staged import staged
+from ..functions.staged import bound, nested, staged, without
 from ..functions.text import LINE_END, count, found, has, lines, match_text, whole, words
-from ..schema import PAGE
 
 #: Fixed values.
 FRONT_MATTER = ("ABSTRACT", "EXECUTIVE SUMMARY", "CONTENTS")
@@ -162,8 +161,11 @@ def _decision(c) -> dict[str, Column]:
     return {"reason": reason, "level": level.cast("int")}
 
 
+_STAGES = (_shape, _title, _body, _verdict, _decision)
+
+
 def heading_features(df: DataFrame, text: Column, prefix: str = "h_") -> DataFrame:
-    found_ = staged(df, _collapsed(text), _shape, _title, _body, _verdict, _decision, prefix=prefix)
+    found_ = staged(df, _collapsed(text), *_STAGES, prefix=prefix)
     return found_.withColumn(f"{prefix}is_heading", F.startswith(f"{prefix}reason", F.lit("yes:")))
 
 
@@ -175,48 +177,59 @@ def heading_id(block_id: Column) -> Column:
 
 
 def with_headings(texts: DataFrame) -> DataFrame:
-    """Text blocks with `own_headings`: array of (sub_index, id, text, normalized_text,
-    level, reason, ws).
+    """Text blocks with their heading features (h_) and `own_headings`: array of (sub_index,
+    id, text, normalized_text, level, reason, ws).
 
     The whole block comes first (sub_index 0), then its lines, numbered as they are emitted.
     Of equal headings of a block (case aside) the first stays. A block that reads like a
     table of contents lends only CONTENTS, unless it is a heading as a whole. Furniture has
-    none. Blocks are exploded into pieces and grouped again within their page, so `texts`
-    partitioned by page needs no exchange.
+    none. All of it is found within the row; the one line of a block of a single line is the
+    block, so lines are judged where there are two or more.
     """
     detected = F.coalesce("normalized_text", "text")
-    # the page stays outside the struct: what follows keeps its partitioning
-    block = F.struct(*(c for c in texts.columns if c not in (*PAGE, "block_index")))
-    rows = texts.select(*PAGE, "block_index", block.alias("block"), F.when(~F.col("is_page_furniture"), detected).alias("detected"))
-    rows = rows.withColumn("contents", is_contents_table(F.col("detected")))
-    pieces = F.concat(F.array(F.col("detected")), F.split("detected", LINE_END))
-    rows = rows.select("*", F.posexplode_outer(pieces).alias("at", "piece"))
-    rows = heading_features(rows, F.col("piece"))
-    kept = F.col("h_is_heading") & ((F.col("at") == 0) | ~F.col("contents") | (F.col("h_upper") == "CONTENTS"))
-    piece = F.struct("at", F.col("h_ws").alias("ws"), F.col("h_level").alias("level"), F.col("h_reason").alias("reason"))
-    rows = rows.select(*PAGE, "block_index", "block", F.when(kept, piece).alias("found"))
-    rows = rows.groupBy(*PAGE, "block_index").agg(F.first("block").alias("block"), F.sort_array(F.collect_list("found")).alias("found"))
-    first = F.filter("found", lambda x, k: ~F.exists(F.slice("found", 1, k), lambda y: F.lower(y["ws"]) == F.lower(x["ws"])))
-    rows = rows.select(*PAGE, "block_index", "block", first.alias("found"))
-    whole_first = F.coalesce(F.get("found", F.lit(0))["at"] == 0, F.lit(False))
-
-    def named(x: Column, k: Column) -> Column:
-        own, number = x["at"] == 0, F.when(whole_first, k).otherwise(k + 1)
-        return F.struct(
-            F.when(own, 0).otherwise(number).cast("int").alias("sub_index"),
-            F.when(own, heading_id(F.col("block.id"))).otherwise(F.format_string("%s-line-heading-%d", F.col("block.id"), number)).alias("id"),
-            F.when(own, F.col("block.text")).otherwise(x["ws"]).alias("text"),
-            F.when(own, F.col("block.normalized_text")).otherwise(x["ws"]).alias("normalized_text"),
-            x["level"].alias("level"),
-            x["reason"].alias("reason"),
-            x["ws"].alias("ws"),
-        )
-
-    return rows.select(*PAGE, "block_index", "block.*", F.transform("found", named).alias("own_headings"))
+    rows = heading_features(texts, detected)
+    free = ~F.col("is_page_furniture")
+    pieces = F.when(free, F.split(detected, LINE_END))
+    rows = rows.withColumn("pieces", F.when(F.size(pieces) > 1, pieces)).withColumn("contents", F.col("pieces").isNotNull() & is_contents_table(detected))
+
+    def judged(line: Column, k: Column) -> Column:
+        def found(c) -> Column:
+            kept = F.startswith(c("reason"), F.lit("yes:")) & (~F.col("contents") | (c("upper") == "CONTENTS"))
+            return F.struct((k + 1).alias("at"), c("ws").alias("ws"), c("level").alias("level"), c("reason").alias("reason"), kept.alias("kept"))
+
+        return nested([_collapsed(line), *_STAGES], found)
+
+    whole_block = F.struct(F.lit(0).alias("at"), F.col("h_ws").alias("ws"), F.col("h_level").alias("level"), F.col("h_reason").alias("reason"), F.col("h_is_heading").alias("kept"))
+    none = F.array().cast("array<struct<at: int, ws: string, level: int, reason: string, kept: boolean>>")
+    each = F.concat(F.when(free, F.array(whole_block)).otherwise(none), F.coalesce(F.transform("pieces", judged), none))
+
+    def distinct(found: Column) -> Column:
+        return F.filter(found, lambda x, k: ~F.exists(F.slice(found, 1, k), lambda y: F.lower(y["ws"]) == F.lower(x["ws"])))
+
+    def numbered(found: Column) -> Column:
+        whole_first = F.coalesce(F.get(found, F.lit(0))["at"] == 0, F.lit(False))
+
+        def named(x: Column, k: Column) -> Column:
+            own, number = x["at"] == 0, F.when(whole_first, k).otherwise(k + 1)
+            return F.struct(
+                F.when(own, 0).otherwise(number).cast("int").alias("sub_index"),
+                F.when(own, heading_id(F.col("id"))).otherwise(F.format_string("%s-line-heading-%d", F.col("id"), number)).alias("id"),
+                F.when(own, F.col("text")).otherwise(x["ws"]).alias("text"),
+                F.when(own, F.col("normalized_text")).otherwise(x["ws"]).alias("normalized_text"),
+                x["level"].alias("level"),
+                x["reason"].alias("reason"),
+                x["ws"].alias("ws"),
+            )
+
+        return F.transform(found, named)
+
+    # bound, as rules that push filters and merge projections copy what a column stands for
+    headings = bound(F.filter(each, lambda x: x["kept"]), lambda kept: bound(distinct(kept), numbered))
+    return rows.withColumn("own_headings", headings).drop("pieces", "contents")
 
 
 def heading_blocks(texts: DataFrame) -> DataFrame:
     """The headings of text blocks, a row each: the block's columns with the heading's own."""
-    rows = with_headings(texts).select("*", F.explode("own_headings").alias("h"))
+    rows = without(with_headings(texts), "h_").select("*", F.explode_outer("own_headings").alias("h")).where("h is not null")
     own = ("sub_index", "id", "text", "normalized_text", "level", "reason")
     return rows.drop("own_headings").withColumns({c: F.col("h")[c] for c in own}).drop("h")

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.text import has, match_text, normalize_text, strip
 from ..operators import furniture
 from ..operators.figures import is_figure_caption
-from ..operators.headings import heading_features, with_headings
+from ..operators.headings import with_headings
 from ..operators.tables import suppression, table_features
 from ..schema import FLAGS, METADATA_FIELDS, PAGE, PHASES
 
 SOURCE = ("document_path", "page_number", "bbox", "extraction_method", "confidence")
+KINDS = tuple(PHASES)
 #: Columns of the blocks relation, in order.
 BLOCKS = (
     "document_path", "document_id", "page_number", "phase", "block_index", "sub_index", "id", "source", "block_type", "text",
@@ -29,9 +30,9 @@ def text_blocks(raw: DataFrame) -> DataFrame:
     """Native text blocks with ids, normalized text and furniture flags.
 
     Blocks without text are dropped; ids and block_index (from 1) count the kept ones, in
-    the extractor's order.
+    the extractor's order; blocks that tie in it, or have none, follow by text and bbox.
     """
-    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("raw_ordinal"))
+    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("raw_ordinal", "text", "bbox"))
     kept = raw.where(F.coalesce(strip(F.col("text")) != "", F.lit(False))).withColumn("block_index", order)
     kept = kept.withColumns(
         {
@@ -57,8 +58,8 @@ def in_context(texts: DataFrame) -> DataFrame:
     to a heading of the page) and `is_table`, with `suppressed` where figure context decides.
     """
     page = Window.partitionBy(*PAGE)
-    rows = with_headings(texts)
-    rows = table_features(heading_features(rows, fallback_text()), fallback_text())
+    # a block with text has a normalized text, so the headings' features are the block's
+    rows = table_features(with_headings(texts), fallback_text())
     body = ~F.col("is_page_furniture")
     rows = rows.withColumn("is_figure", body & is_figure_caption(F.col("t_ws")))
     texts_of = F.transform("own_headings", lambda h: match_text(F.coalesce(F.nullif(h["normalized_text"], F.lit("")), h["text"])))
@@ -74,46 +75,56 @@ def in_context(texts: DataFrame) -> DataFrame:
     return rows.withColumn("suppressed", F.when(candidate, why)).withColumn("is_table", candidate & F.col("suppressed").isNull())
 
 
-def _entry(kind: str, **values: Column) -> Column:
-    """A block as a struct with the fields of `_FIELDS`; those not given are null."""
-    own = values | {"phase": F.lit(PHASES[kind]), "block_type": F.lit(kind)}
-    return F.struct(*(own.get(f, F.lit(None)).cast(t).alias(f) for f, t in _FIELDS.items()))
-
-
 _FIELDS = {"phase": "int", "sub_index": "int", "id": "string", "block_type": "string", "text": "string", "normalized_text": "string"}
 _FIELDS |= dict.fromkeys(FLAGS, "boolean")
 _FIELDS |= {"level": "int", "caption": "string", "rows": "array<array<string>>", "source_text_block_ids": "array<string>", "is_candidate": "boolean"}
 
 
-def blocks_in_context(context: DataFrame) -> DataFrame:
-    """All blocks that the rows of `in_context` stand for."""
+def blocks_in_context(context: DataFrame, kinds: tuple[str, ...] = KINDS, columns: tuple[str, ...] = BLOCKS, **more: Column) -> DataFrame:
+    """The blocks of some kinds that the rows of `in_context` stand for, with some columns.
+
+    Of kinds and columns that are not asked for nothing is built. more: further columns,
+    over those of the text block that a block comes from.
+    """
+    fields = {f: t for f, t in _FIELDS.items() if f in {*columns, "block_type", "sub_index"} or (f == "id" and "id" in columns)}
+
+    def _entry(kind: str, **values: Column) -> Column:
+        own = values | {"phase": F.lit(PHASES[kind]), "block_type": F.lit(kind)}
+        return F.struct(*(own.get(f, F.lit(None)).cast(t).alias(f) for f, t in fields.items()))
+
     texts = {"text": F.col("text"), "normalized_text": F.col("normalized_text")}
     derived = texts | {"sub_index": F.lit(0), "source_text_block_ids": F.array("id")}
-    entries = F.concat(
-        F.array(_entry("text", id=F.col("id"), sub_index=F.lit(-1), **texts, **{f: F.col(f) for f in FLAGS})),
-        F.transform(
+    made = {
+        "text": lambda: F.array(_entry("text", id=F.col("id"), sub_index=F.lit(-1), **texts, **{f: F.col(f) for f in FLAGS})),
+        "heading": lambda: F.transform(
             "own_headings",
             lambda h: _entry("heading", id=h["id"], sub_index=h["sub_index"], text=h["text"], normalized_text=h["normalized_text"], level=h["level"]),
         ),
-        F.when(F.col("is_body"), F.array(_entry("paragraph", **derived))).otherwise(F.array()),
-        F.when(F.col("is_figure"), F.array(_entry("figure", **derived, caption=F.col("t_ws"), is_candidate=F.lit(True)))).otherwise(F.array()),
-        F.when(
+        "paragraph": lambda: F.when(F.col("is_body"), F.array(_entry("paragraph", **derived))).otherwise(F.array()),
+        "figure": lambda: F.when(F.col("is_figure"), F.array(_entry("figure", **derived, caption=F.col("t_ws"), is_candidate=F.lit(True)))).otherwise(F.array()),
+        "table": lambda: F.when(
             F.col("is_table"), F.array(_entry("table", **derived, rows=F.transform("t_lines", lambda x: F.array(x)), is_candidate=F.lit(True)))
         ).otherwise(F.array()),
-    )
-    rows = context.select("document_path", "document_id", "page_number", "block_index", "source", F.explode(entries).alias("b"))
-    rows = rows.select("document_path", "document_id", "page_number", "block_index", "source", "b.*")
-    number = F.row_number().over(Window.partitionBy(*PAGE, "block_type").orderBy("block_index", "sub_index"))
-    counted = F.format_string("page-%d-%s-%d", "page_number", "block_type", number)
-    rows = rows.withColumn("id", F.coalesce("id", counted))
+    }
+    entries = F.concat(*(made[kind]() for kind in KINDS if kind in kinds))
+    own = [c for c in ("document_id", "source") if c in columns]
+    further = [value.alias(name) for name, value in more.items()]
+    rows = context.select(*PAGE, "block_index", *own, *further, F.explode(entries).alias("b")).select(*PAGE, "block_index", *own, *more, "b.*")
+    if "id" in columns:
+        number = F.row_number().over(Window.partitionBy(*PAGE, "block_type").orderBy("block_index", "sub_index"))
+        rows = rows.withColumn("id", F.coalesce("id", F.format_string("page-%d-%s-%d", "page_number", "block_type", number)))
     none = {"image_path": "string", "latex": "string", "variables": "array<string>"}
-    return rows.select(*(F.lit(None).cast(none[c]).alias(c) if c in none else c for c in BLOCKS))
+    return rows.select(*(F.lit(None).cast(none[c]).alias(c) if c in none else c for c in columns), *more)
 
 
-def analyzed(raw: DataFrame) -> DataFrame:
-    """All blocks of `raw` (see `schema.RAW_BLOCKS`), typed, with (phase, block_index,
-    sub_index) as the order within a page. One exchange, on the page."""
-    return blocks_in_context(in_context(text_blocks(raw)))
+def analyzed(raw: DataFrame, kinds: tuple[str, ...] = KINDS, columns: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """Blocks of `raw` (see `schema.RAW_BLOCKS`), typed, with (phase, block_index, sub_index)
+    as the order within a page; all, or those of some kinds. One exchange, on the page."""
+    if set(kinds) == {"text"}:  # text blocks need no page's context
+        empty = F.array().cast("array<string>")
+        rows = text_blocks(raw).withColumns({"own_headings": empty, "is_body": F.lit(False), "is_figure": F.lit(False), "is_table": F.lit(False)})
+        return blocks_in_context(rows, kinds, columns)
+    return blocks_in_context(in_context(text_blocks(raw)), kinds, columns)
 
 
 def of_kind(blocks: DataFrame, kind: str) -> DataFrame:
@@ -135,10 +146,10 @@ def page_status(raw: DataFrame) -> DataFrame:
     return found.withColumn("requires_ocr", ~F.col("has_native_text"))
 
 
-def pages(raw: DataFrame) -> DataFrame:
-    """A row per page with its blocks and text blocks as arrays in order."""
+def pages(raw: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """A row per page with its blocks (of some kinds) and text blocks as arrays in order."""
     fields = [c for c in BLOCKS if c not in ("document_path", "document_id", "page_number")]
-    nested = analyzed(raw).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("phase", "block_index", "sub_index", F.struct(*fields).alias("block")))).alias("b"))
+    nested = analyzed(raw, kinds).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("phase", "block_index", "sub_index", F.struct(*fields).alias("block")))).alias("b"))
     blocks = F.transform("b", lambda x: x["block"])
     rows = page_status(raw).join(nested, [*PAGE], "left").withColumn("blocks", F.coalesce(blocks, F.array()))
     return rows.drop("b").withColumn("text_blocks", F.filter("blocks", lambda x: x["block_type"] == "text"))
@@ -167,8 +178,19 @@ def cleaned_metadata(metadata: DataFrame) -> DataFrame:
     return metadata.select("document_path", F.struct(*fields, split_keywords(F.nullif(strip(F.col("keywords")), F.lit(""))).alias("keywords")).alias("metadata"))
 
 
-def lineage(blocks: DataFrame) -> DataFrame:
-    """Derived blocks met with the text blocks that they come from."""
+DERIVED = ("paragraph", "figure", "table")
+
+
+def lineage(raw: DataFrame) -> DataFrame:
+    """Derived blocks of `raw` with the text blocks that they come from: document_path,
+    page_number, id, block_type, text_id, source_text. A derived block is made in the row of
+    its text block, so there is no join."""
+    context = in_context(text_blocks(raw))
+    return blocks_in_context(context, DERIVED, (*PAGE, "id", "block_type"), text_id=F.col("id"), source_text=F.col("normalized_text"))
+
+
+def lineage_of_blocks(blocks: DataFrame) -> DataFrame:
+    """The same from a relation of blocks that is at hand, by a join on page and id."""
     derived = blocks.where("source_text_block_ids is not null").select(*PAGE, "id", "block_type", F.explode("source_text_block_ids").alias("text_id"))
     texts = blocks.where("block_type = 'text'").select(*PAGE, F.col("id").alias("text_id"), F.col("normalized_text").alias("source_text"))
     return derived.join(texts, [*PAGE, "text_id"])

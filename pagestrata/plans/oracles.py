@@ -240,5 +240,5 @@ SELECT document_id, page_number, chr(10) || '## Page ' || page_number || chr(10)
  || CASE WHEN parts IS NULL THEN 'True' ELSE 'False' END || chr(10) || coalesce(chr(10) || parts, '') AS markdown FROM pg LEFT JOIN agg USING (document_id, page_number)""",
     "block_type_rollup": f"{_ALL} SELECT coalesce(page_number, 0) AS page_number, coalesce(block_type, 'all') AS block_type, count(*) AS n_blocks, count(DISTINCT document_id) AS n_documents, grouping(blocks.page_number)::BIGINT AS all_pages, grouping(blocks.block_type)::BIGINT AS all_types FROM blocks GROUP BY ROLLUP (blocks.page_number, blocks.block_type)",
     "turns_as_blocks": f"""SELECT 'conversation-' || conv_id AS document_id, 'page-1-text-' || k AS id, k AS block_index, {_normal('text')} AS normalized_text
- FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE {_strip('text')} <> '')""",
+ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations WHERE {_strip('text')} <> '')""",
 }

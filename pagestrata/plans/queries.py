@@ -94,12 +94,12 @@ def toc_blocks(spark, sf_dir):
 
 
 def paragraph_blocks(spark, sf_dir):
-    found = plan.of_kind(plan.analyzed(_raw(spark, sf_dir)), "paragraph")
+    found = plan.analyzed(_raw(spark, sf_dir), ("paragraph",))
     return found.select(*_at(), "id", "normalized_text", F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
 
 
 def figure_blocks(spark, sf_dir):
-    found = plan.of_kind(plan.analyzed(_raw(spark, sf_dir)), "figure")
+    found = plan.analyzed(_raw(spark, sf_dir), ("figure",))
     return found.select(*_at(), "id", "caption", F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
 
 
@@ -109,7 +109,7 @@ def table_reject_reasons(spark, sf_dir):
 
 
 def table_candidates(spark, sf_dir):
-    found = plan.of_kind(plan.analyzed(_raw(spark, sf_dir)), "table")
+    found = plan.analyzed(_raw(spark, sf_dir), ("table",))
     cells = F.array_join(F.flatten("rows"), "|")
     return found.select(*_at(), "id", cells.alias("cells"), F.get("source_text_block_ids", F.lit(0)).alias("text_id"))
 
@@ -128,11 +128,12 @@ def prose_features_documents(spark, sf_dir):
 
 
 def page_block_order(spark, sf_dir):
-    return plan.ordered(plan.analyzed(_raw(spark, sf_dir))).select(*_at(), *_long("position"), "block_type", "id")
+    columns = ("document_path", "document_id", "page_number", "phase", "block_index", "sub_index", "id", "block_type")
+    return plan.ordered(plan.analyzed(_raw(spark, sf_dir), columns=columns)).select(*_at(), *_long("position"), "block_type", "id")
 
 
 def lineage_join(spark, sf_dir):
-    found = plan.lineage(plan.analyzed(_raw(spark, sf_dir)))
+    found = plan.lineage(_raw(spark, sf_dir))
     name = F.regexp_extract("document_path", "/library/(.*)[.]pdf", 1).alias("document_id")
     return found.select(name, _at()[1], "id", "block_type", "text_id", "source_text")
 
@@ -148,13 +149,13 @@ def json_export(spark, sf_dir):
 
 
 def markdown_export(spark, sf_dir):
-    pages = plan.pages(_raw(spark, sf_dir))
+    pages = plan.pages(_raw(spark, sf_dir), ("text",))
     fields = F.struct("page_number", "has_native_text", "requires_ocr", "text_blocks")
     return pages.select(*_at(), F.array_join(page_lines(fields), "\n").alias("markdown"))
 
 
 def block_type_rollup(spark, sf_dir):
-    blocks = plan.analyzed(_raw(spark, sf_dir)).select(*_at(), "block_type")
+    blocks = plan.analyzed(_raw(spark, sf_dir), columns=("document_id", "page_number", "block_type")).select(*_at(), "block_type")
     n = [F.grouping(c).cast("long").alias(f"all_{k}") for c, k in (("page_number", "pages"), ("block_type", "types"))]
     found = blocks.rollup("page_number", "block_type").agg(F.count("*").alias("n_blocks"), F.countDistinct("document_id").alias("n_documents"), *n)
     return found.fillna({"page_number": 0, "block_type": "all"})
