@@ -6,6 +6,8 @@ context a range join, block order a union.
 
 from __future__ import annotations
 
+from ..sources.synthetic import CASES
+
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BREAK = r"\r\n|[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -103,6 +105,7 @@ def _headings(source: str, name: str) -> str:
    contains(ws, '.....') AND regexp_matches(ws, '(?i)[.]{{5,}} ?(?:[ivxlcdm]+|[0-9]+)$') AS toc FROM {name}_c),
 {name}_e AS (SELECT *, CASE WHEN listed OR (task AND NOT reference) THEN NULL WHEN left(ws, 1) IN ('-', '*', chr(8226)) THEN 'bullet' WHEN n < 3 THEN 'short'
    WHEN contains(ws, '.....') THEN 'dots' WHEN regexp_matches(ws, '(?i)https?://|@') THEN 'link'
+   WHEN regexp_matches(ws, '(?i)\\| ?Page [0-9]+ (?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day, (?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{{1,2}}, [0-9]{{4}}') AND contains(ws, '| Page ') THEN 'dated_footer'
    WHEN {_full('ws', '(?i)MIL-STD-[0-9]+[A-Z]?')} THEN 'document_header' WHEN {_full('ws', '[0-9]+')} THEN 'digits' WHEN {_full('ws', '(?i)[IVXLCDM]+')} THEN 'roman'
    WHEN {_full('ws', '[A-Z][A-Z0-9-]{1,7}')} THEN 'acronym' WHEN n > 120 AND NOT chapter AND NOT task THEN 'long' WHEN sentence THEN 'sentence' END AS refused,
    coalesce(length(title) <= 100 AND NOT contains(rtrim(title, '.'), '. ') AND (NOT regexp_matches(title, '[.!?]$') OR (hundreds AND length(title) <= 80)), false) AS numbered FROM {name}_d),
@@ -143,7 +146,7 @@ _PHRASES = (
 _SHORT_TITLE = (
     "len(string_split({x}, ' ')) <= 6 AND {x} <> '' AND len(list_filter(string_split({x}, ' '), lambda w: length(w) > 18)) = 0"
 )
-_TABLES = f"""
+_TABLE_RULES = f"""
 ta AS (SELECT *, starts_with(reason, 'yes') AS heading, {_lines('normalized_text')} AS l, lower(ws) AS lo, string_split(ws, ' ') AS w FROM bj),
 tb2 AS (SELECT *, len(l) AS nl, len(w) AS nw, list_transform(l, lambda x: lower({_ws('x')})) AS p, len(list_filter(l, lambda x: regexp_matches(x, '[^ ](?: {{2,}}|\\t+)[^ ]'))) AS columns,
   len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Ll}}'))) / len(w)::DOUBLE AS low,
@@ -178,7 +181,9 @@ tf AS (SELECT *, CASE WHEN ws = '' THEN 'empty' WHEN regexp_matches(ws, '(?i)[.]
   NOT (caption OR headers OR columns >= 2 OR fragment) AND CASE WHEN free AND (steps OR form) THEN true
     WHEN ({_any('lo', _PHRASES)}) > 0 OR len(list_filter(l, lambda x: left(x, 1) IN ('-', '*', chr(8226)))) > 0 THEN nl BETWEEN 2 AND 8 AND nw <= 36 AND len(list_filter(l, lambda x: length(x) > 70)) = 0
     ELSE (nl BETWEEN 2 AND 4 AND len(list_filter(p, lambda x: x NOT IN ('decision', 'end', 'input', 'output', 'start', 'process'))) = 0)
-      OR (nl >= 3 AND list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: split_part(y, ' ', 1) = split_part(x, ' ', 1))))) >= 3) END AS figure_internal FROM te),
+      OR (nl >= 3 AND list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: split_part(y, ' ', 1) = split_part(x, ' ', 1))))) >= 3) END AS figure_internal FROM te)"""
+
+_TABLES = f"""{_TABLE_RULES},
 figs AS (SELECT doc, page_number, block_index, placed, x0, x1, y0, y1 FROM tb WHERE NOT is_page_furniture AND {_full('ws', '(?i)FIGURE (?:[0-9]+|[A-Z]-[0-9]+)[.] [^ ].+')}),
 body AS (SELECT f.* FROM tf f WHERE NOT is_page_furniture AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc = f.doc AND h.page_number = f.page_number AND h.ws = f.ws)),
 near AS (SELECT DISTINCT b.doc, b.page_number, b.block_index FROM body b JOIN figs g ON b.doc = g.doc AND b.page_number = g.page_number AND b.placed AND g.placed
@@ -200,9 +205,33 @@ blocks AS (
 _JUDGED = f"WITH {_RAW} {_TEXT}, {_headings('tb', 'bj')}"
 _HEADED = f"{_JUDGED}, {_CONTENTS}, {_PIECES}, {_headings('pc', 'pj')}, {_HEADS}"
 _ALL = f"{_HEADED}, {_TABLES}"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# texts of the bank as they are, or normalized ones; then every rule on its own
+_CASE_ROWS = ", ".join(f"({k}, {_quoted(text.strip(' '))})" for k, text in enumerate(CASES))
+_CASES = f"t AS (SELECT *, {_ws('normalized_text')} AS ws FROM (VALUES {_CASE_ROWS}) v(case_id, normalized_text))"
+_TEXTS = f"""t AS (SELECT *, {_ws('normalized_text')} AS ws FROM (SELECT key, coalesce({_normal('text')}, '') AS normalized_text FROM (
+  SELECT 'd' || doc_id AS key, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations)))"""
+_SECTION = "(?i)[0-9]+(?:[.][0-9]+)*[.] [^ ].+|FOREWORD|CONTENTS|SUMMARY OF CHANGE 1 MODIFICATIONS"
+
+
+def _ruled(key: str, texts: str) -> str:
+    return f"""WITH {texts}, {_headings('t', 'bj')}, {_TABLE_RULES}
+SELECT {key}, heading AS is_heading, reason, CASE WHEN heading THEN level END::BIGINT AS level, reject_reason, evidence, reject_reason IS NULL AND evidence IS NOT NULL AS is_candidate,
+  coalesce(figure_internal, false) AND ws <> '' AS figure_internal, {_full('ws', '(?i)FIGURE (?:[0-9]+|[A-Z]-[0-9]+)[.] [^ ].+')} AS is_caption,
+  {_full('ws', '[0-9]+')} OR {_in('lower(ws)', 'i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii')} AS is_number,
+  regexp_matches(ws, '(?i)source: ?https?://') OR (contains(lower(ws), 'check the source to verify') AND contains(lower(ws), 'current version'))
+   OR (contains(lower(ws), 'source:') AND contains(lower(ws), 'verify')) OR (length(ws) <= 140 AND regexp_matches(ws, '(?i)\\| ?Page [0-9]+\\b')) AS is_footer,
+  {_full('ws', '(?i)MIL-STD-[A-Z0-9]+(?: w/CHANGE [0-9]+)?|FTIAS Manual')} AND NOT {_full('ws', _SECTION)} AS is_header FROM tf"""
+
+
 _SUMMED = ", ".join(f"sum(is_page_{f}::INT)::BIGINT AS n_{f}" for f in ("header", "footer", "number", "furniture"))
 
 ORACLE_SQL = {
+    "rule_cases": _ruled("case_id", _CASES),
+    "rules_over_texts": _ruled("key", _TEXTS),
     "normalize_documents": f"SELECT doc_id, {_normal('text')} AS normalized FROM documents",
     "match_text_lines": f"SELECT doc_id, {_ws('text')} AS ws, len(l)::BIGINT AS n_lines, array_to_string(l, '|') AS joined_lines FROM (SELECT *, {_lines('text')} AS l FROM documents)",
     "keywords_split": f"""WITH d AS (SELECT DISTINCT o_orderkey // 130 AS doc FROM orders),

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import any_mark, count, lines, match_text, normalize_text, share, starts_lower, words
+from ..operators import furniture
+from ..operators.figures import is_figure_caption
 from ..operators.headings import heading_blocks, heading_features, is_contents_table
 from ..operators.tables import table_features
 from ..schema import FLAGS
 from ..sinks.json import block_json
 from ..sinks.markdown import page_lines
 from ..sources.readers import blocks_of_html, blocks_of_turns
-from ..sources.synthetic import blocks_of_orders, metadata_of_orders
+from ..sources.synthetic import blocks_of_orders, case_texts, metadata_of_orders
 from . import document as plan
 
 
@@ -89,6 +91,29 @@ def heading_lines(spark, sf_dir):
     return heading_blocks(_texts(spark, sf_dir)).select(*_at(), "id", *_long("block_index", "sub_index", "level"), "text", "normalized_text")
 
 
+def _ruled(rows, key):
+    """Heading, table, figure and furniture rules over `text`."""
+    rows = table_features(heading_features(rows, F.col("text")), F.col("text"))
+    ws = F.col("t_ws")
+    return rows.select(
+        key, F.col("h_is_heading").alias("is_heading"), F.col("h_reason").alias("reason"), F.when(F.col("h_is_heading"), F.col("h_level")).cast("long").alias("level"),
+        F.col("t_reject_reason").alias("reject_reason"), F.col("t_evidence").alias("evidence"), F.col("t_is_candidate").alias("is_candidate"),
+        F.col("t_figure_internal").alias("figure_internal"), is_figure_caption(ws).alias("is_caption"), furniture.is_page_number(ws).alias("is_number"),
+        (furniture.is_source_footer(ws) | furniture.is_generic_footer(ws)).alias("is_footer"), furniture.is_document_header(ws).alias("is_header"),
+    )
+
+
+def rule_cases(spark, sf_dir):
+    return _ruled(case_texts(spark), "case_id")
+
+
+def rules_over_texts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.format_string("d%d", "doc_id").alias("key"), "text")
+    items = _table(spark, sf_dir, "benchmark").select(F.format_string("b%d", "item_id").alias("key"), "text")
+    turns = _table(spark, sf_dir, "conversations").select(F.format_string("c%d-%d", "conv_id", "turn").alias("key"), "text")
+    return _ruled(docs.union(items).union(turns).select("key", F.coalesce(normalize_text(F.col("text")), F.lit("")).alias("text")), "key")
+
+
 def toc_blocks(spark, sf_dir):
     return _texts(spark, sf_dir).select(*_at(), "id", is_contents_table(plan.fallback_text()).alias("is_contents"))
 
@@ -175,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_documents, match_text_lines, keywords_split, raw_blocks_scan, page_ocr_status, furniture_flags, furniture_summary,
-        heading_predicate, heading_levels, heading_lines, toc_blocks, paragraph_blocks, figure_blocks, table_reject_reasons,
+        heading_predicate, heading_levels, heading_lines, toc_blocks, rule_cases, rules_over_texts, paragraph_blocks, figure_blocks, table_reject_reasons,
         table_candidates, figure_context_join, prose_features_documents, page_block_order, lineage_join, json_export, markdown_export,
         block_type_rollup, turns_as_blocks, html_as_blocks,
     )

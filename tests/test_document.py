@@ -40,7 +40,9 @@ def test_order_and_counters(spark):
         "page-1-paragraph-1", "page-1-paragraph-2", "page-1-paragraph-3", "page-1-figure-1", "page-1-table-1",
         "page-2-text-1", "page-2-paragraph-1", "page-1-text-1", "page-1-paragraph-1",
     ]
-    assert plan.lineage_of_blocks(blocks).count() == blocks.where("source_text_block_ids is not null").count()
+    derived = plan.lineage_of_blocks(blocks)
+    assert sorted(map(tuple, derived.collect())) == sorted(map(tuple, plan.lineage(raw).select(derived.columns).collect()))
+    assert derived.count() == blocks.where("source_text_block_ids is not null").count()
     furniture = {r["id"] for r in blocks.where("is_page_furniture").collect()}
     assert furniture == {"page-1-text-5"}
 

@@ -7,6 +7,7 @@ from pagestrata.operators import furniture
 from pagestrata.operators.figures import is_figure_caption
 from pagestrata.operators.headings import heading_features, heading_id, is_contents_table
 from pagestrata.operators.tables import table_features
+from pagestrata.plans.queries import QUERIES
 
 HEADINGS = {
     "ABSTRACT": 1,
@@ -146,3 +147,20 @@ def test_table_rules(spark):
     found = {t: (r[0], r[1]) for t, r in zip(TABLES, rows)}
     assert found == TABLES
     assert all(r[2] == (r[0] is None and r[1] is not None) for r in rows)
+
+
+def test_cases_reach_every_rule(spark):
+    rows = QUERIES["rule_cases"](spark, "").collect()
+    reasons = {r["reason"] for r in rows}
+    assert reasons == {
+        "no:empty", "no:toc_entry", "no:numbered_body", "no:appendix_reference", "no:bullet", "no:short", "no:dots", "no:link", "no:dated_footer",
+        "no:document_header", "no:digits", "no:roman", "no:acronym", "no:long", "no:sentence", "no:numbered", "no:plain", "yes:listed_title",
+        "yes:chapter_or_annex", "yes:task_or_appendix", "yes:numbered", "yes:annex_section",
+    }
+    assert {r["reject_reason"] for r in rows} - {None} == {
+        "empty", "dot_leader", "link", "source", "definition", "table_reference", "figure_text", "process_label", "form_labels", "section_prose",
+        "list_item", "heading", "long_prose",
+    }
+    assert {r["evidence"] for r in rows} == {None, "caption", "header_terms", "line_structure"}
+    for flag in ("is_candidate", "figure_internal", "is_caption", "is_number", "is_footer", "is_header"):
+        assert {r[flag] for r in rows} == {True, False}

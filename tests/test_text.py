@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -40,17 +42,22 @@ def test_null_texts(apply):
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab \t\n\r\x0b\x0c\x1c\x85   　", max_size=30), min_size=30, max_size=60))
-def test_against_python(apply, texts):
-    import re
-
-    def plain(text):
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-        text = re.sub("[  -   ]", " ", text)
-        text = "\n".join(re.sub(r"[ \t]+", " ", x).rstrip() for x in text.split("\n")).strip()
-        return re.sub(r"\n{3,}", "\n\n", text)
-
-    assert apply(normalize_text, texts) == [plain(t) for t in texts]
-    once = apply(normalize_text, texts)
-    assert apply(normalize_text, once) == once
+def test_properties(apply, texts):
+    found = apply(normalize_text, texts)
+    for before, after in zip(texts, found):
+        # nothing but white space goes, and what stays keeps its order
+        assert "".join(after.split()) == "".join(before.split())
+        assert after == after.strip() and "\r" not in after and "\t" not in after and "  " not in after and "\n\n\n" not in after
+        assert all(line == line.rstrip() for line in after.split("\n"))
+        # words of a line stay on one line: only line feeds and carriage returns part lines
+        parted = [x for x in re.split("[\r\n]", before) if x.strip()]
+        assert [x.split() for x in after.split("\n") if x.strip()] == [x.split() for x in parted]
+    assert apply(normalize_text, found) == found
     assert apply(match_text, texts) == [" ".join(t.split()) for t in texts]
     assert apply(lines, texts) == [[x.strip() for x in t.splitlines() if x.strip()] for t in texts]
+
+
+def test_long_runs_of_spaces_take_linear_time(apply):
+    run = " " * 1_000_000
+    assert apply(normalize_text, [f"a{run}b", f"{run}a\n{run}b{run}", run]) == ["a b", "a\n b", ""]
+    assert apply(lines, [f"a\u00a0{run}b\n{run}"]) == [[f"a\u00a0{run}b"]]
