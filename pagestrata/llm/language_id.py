@@ -280,7 +280,8 @@ def held_out() -> F.Column:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of `docs` (doc_id, text, lang).
+    """doc_id, held_out, lang_pred and score (6 decimals) of every row of `docs` (doc_id, text,
+    lang).
 
     Null, empty and letterless texts are `und` with score 0, and so is all where no row has
     a label. Equal texts get equal results: ties of code lengths go to the first language by
@@ -290,7 +291,7 @@ def languages(docs: DataFrame) -> DataFrame:
     """
     model = learned(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = identified(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 
 
 def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:

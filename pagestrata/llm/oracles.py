@@ -171,10 +171,50 @@ SELECT h.page_id, host, path, rule,
 FROM h LEFT JOIN fit ON fit.page_id = h.page_id
 """
 
+# CRC-32 of the digits of doc_id, bit by bit
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda r, c: "
+    "list_reduce(list_prepend(xor(r, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"
+)
+
+
+def _op4() -> str:
+    """Byte trees as tables: g3 is a byte with the three before it, in hexadecimal."""
+    orders = range(4)
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, substr(g, {7 - 2 * k}) AS g, n FROM seen" for k in orders)
+    direct = " ".join(f"LEFT JOIN direct d{k} ON d{k}.lang = l.lang AND d{k}.k = {k} AND d{k}.g = substr(c.g, {7 - 2 * k})" for k in orders)
+    leave = " ".join(f"LEFT JOIN leave e{k} ON e{k}.lang = l.lang AND e{k}.k = {k} AND e{k}.c = substr(c.g, {7 - 2 * k}, {2 * k})" for k in orders)
+    cost = "524288"
+    for k in orders:
+        cost = f"coalesce(d{k}.cost, coalesce(e{k}.cost, 0) + {cost})"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS u, doc_id, lang, text, coalesce({_CRC} % 4 = 2, false) AS held_out FROM documents),
+drawn AS (SELECT DISTINCT lang, doc_id, text, md5(coalesce(doc_id::VARCHAR, '') || '|' || text) AS h FROM docs
+  WHERE NOT held_out AND text IS NOT NULL AND lang IS NOT NULL AND octet_length(encode(text)) <= 4000000),
+learned AS (SELECT lang, text FROM (SELECT *, row_number() OVER w AS nth, coalesce(sum(octet_length(encode(text))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM drawn WINDOW w AS (PARTITION BY lang ORDER BY h, doc_id, text)) WHERE nth <= 500 AND before < 4000000),
+seen AS MATERIALIZED (SELECT lang, substr(x, 2 * i + 1, 8) AS g, count(*) AS n FROM (SELECT lang, '000000' || hex(encode(text)) AS x, unnest(range(octet_length(encode(text)))) AS i FROM learned) GROUP BY ALL),
+gram AS (SELECT lang, k, g, sum(n) AS n FROM ({grams}) GROUP BY ALL),
+context AS (SELECT lang, k, left(g, 2 * k) AS c, sum(n)::DOUBLE AS total, count(*) AS kinds FROM gram GROUP BY ALL),
+direct AS MATERIALIZED (SELECT g.lang, g.k, g, round(log2((total + kinds) / n) * 65536)::BIGINT AS cost FROM gram g JOIN context x ON x.lang = g.lang AND x.k = g.k AND x.c = left(g.g, 2 * g.k)),
+leave AS MATERIALIZED (SELECT lang, k, c, round(log2((total + kinds) / kinds) * 65536)::BIGINT AS cost FROM context),
+asked AS MATERIALIZED (SELECT u, substr(x, 2 * i + 1, 8) AS g, count(*) AS n FROM (SELECT u, '000000' || hex(encode(text)) AS x, unnest(range(octet_length(encode(text)))) AS i FROM docs) GROUP BY ALL),
+priced AS MATERIALIZED (SELECT l.lang, c.g, {cost} AS cost FROM (SELECT DISTINCT g FROM asked) c CROSS JOIN (SELECT DISTINCT lang FROM learned) l {direct} {leave}),
+bits AS (SELECT u, lang, sum(n * cost) / 65536::DOUBLE AS b FROM asked JOIN priced USING (g) GROUP BY ALL),
+best AS (SELECT u, arg_min(lang, (b, lang)) AS lang, min(b) AS b FROM bits GROUP BY u),
+won AS (SELECT u, any_value(best.lang) AS lang, 1 / sum(pow(2::DOUBLE, greatest(best.b - bits.b, -1000))) AS score FROM bits JOIN best USING (u) GROUP BY u)
+SELECT doc_id, held_out, CASE WHEN regexp_matches(text, '\\p{{L}}') THEN coalesce(won.lang, 'und') ELSE 'und' END AS lang_pred,
+  CASE WHEN regexp_matches(text, '\\p{{L}}') THEN coalesce(round(score, 6), 0) ELSE 0 END::DOUBLE AS score FROM docs LEFT JOIN won USING (u)
+"""
+
+
+OP4 = _op4()
+
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1,
     "op2_benchmark_decontamination": OP2,
     "op3_quality_rules": OP3,
+    "op4_language_id": OP4,
     "op6_license_scans": OP6,
     "op7_url_filters": OP7,
     "op8_mixing": OP8,
