@@ -34,6 +34,9 @@ ORDER = 3
 #: The bound of the sample: rows of a language, and bytes of their texts.
 PER_LANGUAGE = 500
 SAMPLE_BYTES = 4_000_000
+#: A text of SHORTEST bytes or more whose bytes cost more than MOST_EXCESS times what those
+#: of its language's sample do is in no learned language.
+MOST_EXCESS, SHORTEST = 3.0, 50
 UNKNOWN = "und"
 UNIT = 1 << 16
 SLICE_BYTES = 1 << 17
@@ -93,9 +96,11 @@ class Table:
 
 @dataclass
 class Model:
-    """languages by name; per language and order the tables of `trained`."""
+    """languages by name; per language the bits that a byte of its sample costs, and per order
+    the tables of `trained`."""
 
     languages: list[str]
+    rates: list[float]
     direct: list[list[Table]]
     escape: list[list[Table]]
     order: int
@@ -123,8 +128,12 @@ def _low(codes: np.ndarray, n: int) -> np.ndarray:
     return codes & np.uint32((1 << (8 * n)) - 1)
 
 
-def trained(texts: list[str], order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order: (context, byte) codes and their costs, contexts and the costs of leaving them."""
+Trained = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]
+
+
+def trained(texts: list[str], order: int = ORDER) -> Trained:
+    """Per order: (context, byte) codes and their costs, contexts and the costs of leaving
+    them, and the bits that a byte of the texts costs in its context of that order."""
     data = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts if t]
     starts = np.cumsum([0, *map(len, data)])[:-1]
     codes = _codes(np.concatenate([np.zeros(0, np.uint8), *data]), starts)
@@ -136,14 +145,16 @@ def trained(texts: list[str], order: int = ORDER) -> list[tuple[np.ndarray, np.n
         total = np.add.reduceat(n, first) if len(first) else n
         direct = np.rint(np.log2(np.repeat(total + kinds, kinds) / n) * UNIT)
         leave = np.rint(np.log2((total + kinds) / kinds) * UNIT)
-        out.append((grams, direct.astype(np.int32), contexts, leave.astype(np.int32)))
+        rate = float((direct * n).sum() / max(n.sum(), 1) / UNIT)
+        out.append((grams, direct.astype(np.int32), contexts, leave.astype(np.int32), rate))
     return out
 
 
-def model_of(tables: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]], order: int = ORDER) -> Model:
+def model_of(tables: dict[str, Trained], order: int = ORDER) -> Model:
     names = sorted(tables)
-    direct = [[Table(g, c) for g, c, _, _ in tables[x]] for x in names]
-    return Model(names, direct, [[Table(x, c) for _, _, x, c in tables[name]] for name in names], order)
+    direct = [[Table(own[0], own[1]) for own in tables[name]] for name in names]
+    escape = [[Table(own[2], own[3]) for own in tables[name]] for name in names]
+    return Model(names, [tables[name][-1][4] for name in names], direct, escape, order)
 
 
 def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
@@ -200,15 +211,18 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
-def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """The language of the shortest code (ties: the first by name) and its posterior."""
+def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language of the shortest code (ties: the first by name), its posterior, and how
+    many times what its sample's bytes cost those of the text do."""
     if not model.languages:
-        return [UNKNOWN] * len(column), np.zeros(len(column))
+        return [UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column))
     bits = code_lengths(model, column) / UNIT
     best = bits.argmin(axis=1)
     score = 1.0 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
     fine = has_letter(column)
-    return [model.languages[k] if f else UNKNOWN for k, f in zip(best, fine, strict=True)], np.where(fine, score, 0.0)
+    n_bytes = np.diff(text_buffer(column)[1])
+    usual = np.maximum(n_bytes, 1) * np.maximum(np.array(model.rates)[best], 1e-3)
+    return [model.languages[k] if f else UNKNOWN for k, f in zip(best, fine, strict=True)], np.where(fine, score, 0.0), bits.min(axis=1) / usual
 
 
 def sample(rows: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -243,35 +257,40 @@ def learned(rows: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDE
         made = trained(group.column("text").to_pylist(), order)
         columns = [pa.array([group.column("lang")[0].as_py()] * len(made), pa.string()), pa.array(range(len(made)), pa.int32())]
         columns += [pa.array([x[k].tobytes() for x in made], pa.binary()) for k in range(4)]
-        return pa.table(columns, names=["lang", "k", "grams", "costs", "contexts", "leave"])
+        columns.append(pa.array([x[4] for x in made], pa.float64()))
+        return pa.table(columns, names=["lang", "k", "grams", "costs", "contexts", "leave", "rate"])
 
     chosen = sample(rows, per_language, most_bytes).withColumn("lang", F.col("lang").cast("string"))
-    fields = "lang string, k int, grams binary, costs binary, contexts binary, leave binary"
+    fields = "lang string, k int, grams binary, costs binary, contexts binary, leave binary, rate double"
     found: dict[str, dict[int, tuple]] = {}
     for r in chosen.groupBy("lang").applyInArrow(run, fields).toLocalIterator():
         kinds = (np.uint32, np.int32, np.uint32, np.int32)
-        found.setdefault(r["lang"], {})[r["k"]] = tuple(np.frombuffer(r[c], t) for c, t in zip(("grams", "costs", "contexts", "leave"), kinds))
+        arrays = (np.frombuffer(r[c], t) for c, t in zip(("grams", "costs", "contexts", "leave"), kinds, strict=True))
+        found.setdefault(r["lang"], {})[r["k"]] = (*arrays, r["rate"])
     return model_of({lang: [own[k] for k in sorted(own)] for lang, own in found.items()}, order)
 
 
+_ADDED = ("lang_pred", "score", "excess")
+
+
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score (names that clash are replaced).
+    """`docs` with lang_pred, score and excess (names that clash are replaced; see `predict`).
 
     `und` with score 0 for a null or empty text and for one without a letter, and where
     nothing was learned.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*_ADDED)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score = predict(shared.value, batch.column(text))
-            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            langs, score, excess = predict(shared.value, batch.column(text))
+            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(excess, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *_ADDED])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(released(run), f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(released(run), f"{fields}, lang_pred string, score double, excess double")
 
 
 def held_out() -> F.Column:
@@ -295,13 +314,15 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is recognised with that posterior; columns stay.
+    """The rows of `docs` whose language is recognised with that posterior, and at a cost that
+    is usual in it (see MOST_EXCESS); columns stay.
 
-    Rows with a null, empty or letterless text go. Repeated rows stay or go together, and of
+    Rows with a null, empty or letterless text go, and texts in no learned language. Repeated rows stay or go together, and of
     languages that tie none has the posterior unless `least` allows it. Null and repeated
     doc_ids change nothing; an empty table stays empty.
     """
     model = learned(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    found = identified(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), model)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
+    found = identified(docs.withColumnsRenamed({c: f"__{c}" for c in _ADDED}), model)
+    usual = (F.col("excess") <= MOST_EXCESS) | (F.octet_length("text") < SHORTEST)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least) & usual).drop(*_ADDED)
+    return kept.withColumnsRenamed({f"__{c}": c for c in _ADDED})

@@ -207,6 +207,13 @@ def test_pieces_of_a_long_text_cost_what_the_whole_does(monkeypatch):
     assert (code_lengths(model, column) == whole).all() and (whole[1:3] == 0).all()
 
 
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    other = [(-1, "\u042d\u0442\u043e \u043f\u0440\u0435\u0434\u043b\u043e\u0436\u0435\u043d\u0438\u0435 \u043e \u0434\u043e\u043c\u0435 \u0443 \u043c\u043e\u0440\u044f " * 3, None), (-2, "xq zzkw pqj vvx qqj wkz jxq zpq kkw vjq xzz qwk pzj " * 3, None)]
+    kept = language_id.recognised(docs.union(spark.createDataFrame(other, docs.schema))).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in docs.where("text rlike '[a-zA-Z]'").collect()}
+
+
 def test_languages_of_hard_rows(spark):
     found = {(r["doc_id"]): (r["lang_pred"], r["score"]) for r in language_id.languages(hard(spark)).collect()}
     assert len(language_id.languages(hard(spark)).collect()) == len(hard_rows())
