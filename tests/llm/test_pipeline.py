@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__ as driver
-from pagestrata.llm import decontamination, language_id, pii
+from pagestrata.llm import decontamination, language_id, pii, store
 from pagestrata.llm.oracles import ORACLE_SQL
 from pagestrata.llm.queries import QUERIES
 from tests.compare import spark_rows, sql_rows
@@ -39,6 +39,15 @@ def test_stages_equal_brute_force(spark):
     clean = sorted(i for i in first if str(i) not in bad)
     found = {r["doc_id"]: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert sorted(found) == clean
+    # only the result is left of this run's tables
+    import os
+
+    folder = store.shared_folder(spark)
+    with store.intermediates(spark):
+        path = store.written(spark.range(3), "probe").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    assert len([x for x in os.listdir(folder.removeprefix("file:")) if x.startswith("pipeline-")]) == 1
     automaton = pii._automaton()
     for i in clean:
         assert found[i]["text"] == pii.mask(rows[i]["text"], pii.find_spans(rows[i]["text"], automaton))
