@@ -270,4 +270,9 @@ SELECT document_id, page_number, chr(10) || '## Page ' || page_number || chr(10)
     "block_type_rollup": f"{_ALL} SELECT coalesce(page_number, 0) AS page_number, coalesce(block_type, 'all') AS block_type, count(*) AS n_blocks, count(DISTINCT document_id) AS n_documents, grouping(blocks.page_number)::BIGINT AS all_pages, grouping(blocks.block_type)::BIGINT AS all_types FROM blocks GROUP BY ROLLUP (blocks.page_number, blocks.block_type)",
     "turns_as_blocks": f"""SELECT 'conversation-' || conv_id AS document_id, 'page-1-text-' || k AS id, k AS block_index, {_normal('text')} AS normalized_text
  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations WHERE {_strip('text')} <> '')""",
+    "html_as_blocks": f"""WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''),
+  '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<nav\\b.*?</nav\\s*>', '', 'g') AS body FROM pages),
+e AS (SELECT page_id, unnest(regexp_split_to_array(body, '(?i)<(?:p|h[1-6]|li|div|br|tr|td|article|section|blockquote)\\b[^>]*>')) AS x FROM p),
+t AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM e)
+SELECT 'page-' || page_id AS document_id, count(*) AS n_blocks, sum(length({_normal('x')}))::BIGINT AS n_chars FROM t WHERE {_strip('x')} <> '' GROUP BY page_id""",
 }

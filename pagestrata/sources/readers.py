@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,9 @@ def read_blocks(spark: SparkSession, path: str, form: str = "parquet", strict: b
     found = spark.read.schema(RAW_BLOCKS).format(form).load(path)
     if not strict:
         return found
-    broken = F.size(violations()) > 0
-    return found.withColumn("page_number", F.when(broken, F.raise_error(F.array_join(violations(), ","))).otherwise(F.col("page_number")))
+    # a filter, so that every query checks, whatever columns it reads
+    broken = F.array_join(violations(), ",")
+    return found.where(F.when(broken != "", F.raise_error(broken).cast("boolean")).otherwise(F.lit(True)))
 
 
 def validated(path: str) -> str:
@@ -34,10 +36,15 @@ def validated(path: str) -> str:
     return path
 
 
+def no_pattern(path: str) -> str:
+    """The path as file sources take it, which read some marks as patterns."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def open_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Raw blocks and raw metadata of one document."""
-    validated(path)
-    return read_pdfs(spark, path), metadata_of_pdfs(spark, path)
+    literal = no_pattern(validated(path))
+    return read_pdfs(spark, literal), metadata_of_pdfs(spark, literal)
 
 
 def blocks_of_turns(conversations: DataFrame) -> DataFrame:

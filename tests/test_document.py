@@ -181,3 +181,56 @@ def test_command_line(spark, tmp_path, capsys):
     except ImportError:
         with pytest.raises(Exception, match="PyMuPDF"):
             open_document(spark, str(tmp_path / "a.pdf"))[0].collect()
+
+
+class FakeDocument(list):
+    metadata = {"title": " T ", "author": 7, "keywords": "a, b"}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+class FakePage:
+    def __init__(self, blocks):
+        self.blocks, self.rect = blocks, type("Rect", (), {"width": 612, "height": 792})
+
+    def get_text(self, form):
+        assert form == "blocks"
+        return self.blocks
+
+
+def test_pdf_pages_become_raw_blocks(spark, monkeypatch):
+    import pandas as pd
+
+    from pagestrata.sources import pdf
+
+    pages = FakeDocument([FakePage([(1.0, 2.0, 3.0, 4.0, "one", 0, 0), (1.0, 5.0, 3.0, 8.0, " ", 1, 0), (0, 0), (1.0, 9.0, 3.0, 12.0, "two")]), FakePage([])])
+    monkeypatch.setattr(pdf, "_opened", lambda content: pages)
+    files = pd.DataFrame({"path": ["file:/a b/x[1].pdf"], "content": [b""]})
+    rows = pd.concat(pdf._blocks(iter([files])))
+    assert list(rows.columns) == RAW_BLOCKS.names and set(rows["document_path"]) == {"/a b/x[1].pdf"} and set(rows["document_id"]) == {"x[1]"}
+    plain = rows.astype(object).where(rows.notna(), None).to_dict("records")
+    raw = spark.createDataFrame([{k: float(v) if k == "confidence" and v else v for k, v in r.items()} for r in plain], RAW_BLOCKS)
+    assert [(r["page_number"], r["id"], r["text"]) for r in plan.text_blocks(raw).orderBy("block_index").collect()] == [(1, "page-1-text-1", "one"), (1, "page-1-text-2", "two")]
+    assert {r["page_number"]: r["requires_ocr"] for r in plan.page_status(raw).collect()} == {1: False, 2: True}
+    known = next(pdf._metadata(iter([files]))).iloc[0]
+    assert known["title"] == " T " and known["author"] is None and known["keywords"] == "a, b"
+
+
+def test_file_names_are_no_patterns(spark, tmp_path):
+    from pagestrata.sources.pdf import _files
+    from pagestrata.sources.readers import no_pattern
+
+    for name in ("x[1].pdf", "x1.pdf", "a b*.PDF"):
+        (tmp_path / name).write_bytes(name.encode())
+    for name in ("x[1].pdf", "a b*.PDF"):
+        assert [bytes(r["content"]).decode() for r in _files(spark, no_pattern(str(tmp_path / name))).collect()] == [name]
+
+
+def test_strict_reading_checks_whatever_is_read(spark, tmp_path):
+    raw_of(spark, [("/m.pdf", 0, 0, "x")]).write.parquet(str(tmp_path / "raw"))
+    with pytest.raises(Exception, match="page_number"):
+        read_blocks(spark, str(tmp_path / "raw"), strict=True).select("text").collect()
