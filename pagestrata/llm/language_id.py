@@ -36,7 +36,7 @@ PER_LANGUAGE = 500
 SAMPLE_BYTES = 4_000_000
 #: A text of SHORTEST bytes or more whose bytes cost more than MOST_EXCESS times what those
 #: of its language's sample do is in no learned language.
-MOST_EXCESS, SHORTEST = 3.0, 50
+MOST_EXCESS, SHORTEST = 4.0, 100
 UNKNOWN = "und"
 UNIT = 1 << 16
 SLICE_BYTES = 1 << 17

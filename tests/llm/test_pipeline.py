@@ -32,7 +32,7 @@ def test_stages_equal_brute_force(spark):
 
     ids = sorted(rows)
     langs, scores, excess = language_id.predict(language_id.train(texts), pa.array([rows[i]["text"] for i in ids]))
-    kept = [i for i, lang, s, x in zip(ids, langs, scores, excess) if lang != "und" and s >= 0.5 and (x <= 3 or len(rows[i]["text"].encode()) < 50)]
+    kept = [i for i, lang, s, x in zip(ids, langs, scores, excess) if lang != "und" and s >= 0.5 and (x <= 4 or len(rows[i]["text"].encode()) < 100)]
     first = [i for i, (_, _, c) in zip(sorted(kept, key=str), brute_components([(i, rows[i]["text"]) for i in kept])) if str(i) == c]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     bad = {k.split(",")[0][1:] for k in brute_overlaps([(i, rows[i]["text"]) for i in first], items)}
