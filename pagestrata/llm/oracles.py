@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .pii import CUES
+
 _WORDS = (
     "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
     " '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -210,6 +212,72 @@ SELECT doc_id, held_out, CASE WHEN regexp_matches(text, '\\p{{L}}') THEN coalesc
 
 OP4 = _op4()
 
+
+def _op10() -> str:
+    """Base kinds by the contract's patterns, `url` by one more, `account` from the places of all
+    cues; offsets are sums over the matches and the gaps between them."""
+    cues = "|".join(form for cue in CUES for form in (cue, cue.upper(), cue.title()))
+    # by kind: pattern and what a match m must fulfil
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (
+            r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+            "len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR ('0' || right(p, 3))::INTEGER > 255)) = 0",
+        ),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN} % 10 = 0"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 9 AND 15"),
+        "url": (
+            r"""[A-Za-z0-9+.-]{1,32}://[^\x00-\x20\x7f<>"'`{}|\\^\x{A0}]+""".replace("'", "''"),
+            "contains(regexp_extract(m, '://([^/?#]*)', 1), '@')",
+        ),
+        # a space stands before the text, so that every cue has a character before it
+        "cue": (rf"[^\p{{L}}\p{{N}}_](?:{cues})", "true"),
+    }
+    cut = " UNION ALL ".join(
+        f"SELECT u, {k} AS k, '{kind}' AS kind, regexp_extract_all(x, '{re}') AS ms, string_split_regex(x, '{re}') AS gaps"
+        f" FROM (SELECT u, {chr(39) + ' ' + chr(39) + ' || ' if kind == 'cue' else ''}text AS x FROM docs)"
+        for k, (kind, (re, _)) in enumerate(kinds.items())
+    )
+    valid = " ".join(f"WHEN '{kind}' THEN {rule}" for kind, (_, rule) in kinds.items())
+    iban = r"^([\x20:=#]{0,3})([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?)(?:[^A-Za-z0-9]|$)"
+    cued = r"""^([\x20]?[=:#][\x20]?["']?)([A-Za-z0-9_+/.-]{6,})""".replace("'", "''")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}')::BIGINT AS n_{kind}" for kind in list(kinds)[:4])
+    return f"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({cut})),
+hits AS MATERIALIZED (SELECT u, k, kind, i, ms[i] AS m,
+  (sum(len(gaps[i]) + CASE WHEN i > 1 THEN len(ms[i - 1]) ELSE 0 END) OVER (PARTITION BY u, k ORDER BY i))::BIGINT AS a FROM cut),
+-- a cue's place without the character and the space before it
+cue AS (SELECT u, i, a, a + len(m) - 1 AS b, lower(substr(m, 2)) = 'iban' AS is_iban, substr(text, a + len(m)) AS rest FROM hits JOIN docs USING (u) WHERE kind = 'cue'),
+tried AS (SELECT *, is_iban AND regexp_matches(rest, '{iban}') AS by_iban, regexp_matches(rest, '{cued}') AS by_cue FROM cue),
+value AS (SELECT u, a, by_iban, row_number() OVER (PARTITION BY u ORDER BY i) AS nth,
+  b + len(regexp_extract(rest, CASE WHEN by_iban THEN '{iban}' ELSE '{cued}' END, 1)) AS s,
+  regexp_extract(rest, CASE WHEN by_iban THEN '{iban}' ELSE '{cued}' END, 2) AS v FROM tried WHERE by_iban OR by_cue),
+-- a cue inside what an earlier one took is passed over
+walk(u, nth, free, taken) AS (
+  SELECT DISTINCT u, 0::BIGINT, 0::BIGINT, false FROM value
+  UNION ALL SELECT v.u, v.nth, CASE WHEN v.a >= w.free THEN v.s + len(v.v) ELSE w.free END, v.a >= w.free FROM walk w JOIN value v ON v.u = w.u AND v.nth = w.nth + 1),
+account AS (SELECT u, 5 AS k, 'account' AS kind, s AS a, s + len(v) AS b FROM walk JOIN value USING (u, nth) WHERE taken AND CASE WHEN by_iban THEN
+    len(replace(v, ' ', '')) >= 15 AND list_reduce(list_transform(string_split(substr(replace(v, ' ', ''), 5) || left(v, 4), ''),
+      lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1), lambda r, d: (r * CASE WHEN d < 10 THEN 10 ELSE 100 END + d) % 97, 0::BIGINT) = 1
+  ELSE regexp_matches(v, '[0-9]') END),
+spans AS (SELECT u, k, kind, a, a + len(m) AS b FROM hits WHERE kind <> 'cue' AND CASE kind {valid} END UNION ALL SELECT * FROM account),
+listed AS (SELECT u, {counts}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) FILTER (k < 4) AS base,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) AS spans, count(*)::BIGINT AS n_spans FROM spans GROUP BY u)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in list(kinds)[:4])},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM docs LEFT JOIN listed USING (u)
+"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"list_sum(list_transform(list_reverse(string_split({_DIGITS}, '')), lambda c, k:"
+    " CASE WHEN k % 2 = 1 THEN c::INTEGER WHEN c < '5' THEN 2 * c::INTEGER ELSE 2 * c::INTEGER - 9 END))"
+)
+
+OP10 = _op10()
+
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1,
     "op2_benchmark_decontamination": OP2,
@@ -219,4 +287,5 @@ ORACLE_SQL = {
     "op7_url_filters": OP7,
     "op8_mixing": OP8,
     "op9_warc": OP9,
+    "op10_pii": OP10,
 }

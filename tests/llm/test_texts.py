@@ -385,3 +385,30 @@ def test_personal_data_equals_brute_force(spark):
         assert r["base_sha256"] == digest_of(base) and r["n_spans"] == len(base) + len(added)
         assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in base + added)
         assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in base) for k in pii.BASE_KINDS]
+
+
+def test_spans_equal_sql():
+    """The parsers against the SQL's patterns over texts mixed from anchors, values and breaks."""
+    import random
+
+    import duckdb
+
+    from pagestrata.llm.oracles import ORACLE_SQL
+
+    bits = (
+        ["token", "Token", "IBAN", "iban", "user_id", "social security", "=", ":", "#", "'", '"', "abc123x", "secret9/", "DE89370400440532013000"]
+        + ["GB82 WEST 1234 5698 7654 32", "DE00370400440532013000", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234-567", "+1", "10.0.0.1"]
+        + ["300.1.1.1", "001.02.3.0004", "1.2.3.4.5.6.7.8", "a.b@c.de", "x@y", "a@b.c@d.e", "http://u:p@host/x", "ftp://h/@", "://", "https://a@b c"]
+        + ["\u00e9", "\u4e2d", "\U0001f600", "_", "/", ".", "-", "+", "@", "0000000000000", "\n", "12", "9"]
+    )
+    rng = random.Random(5)
+    texts = [None, ""] + ["".join(rng.choice(bits) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    automaton = pii._automaton()
+    found = con.execute(f"SELECT doc_id, spans, n_spans FROM ({ORACLE_SQL['op10_pii']}) ORDER BY doc_id").fetchall()
+    assert len(found) == len(texts) and {s.split(":")[0] for r in found for s in r[1].split(",") if s} == set(pii.KINDS)
+    for k, listed, n in found:
+        spans = pii.find_spans(texts[k] or "", automaton)
+        assert (listed, n) == (",".join(f"{kind}:{a}:{b}" for kind, a, b in spans), len(spans))
