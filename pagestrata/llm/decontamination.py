@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import keyed, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW, LEAST = 20, 17
@@ -172,9 +172,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that overlap no item; columns stay.
 
-    Rows that share a doc_id with one that overlaps go too; a null doc_id stays, as do null
-    and empty texts. An empty table stays empty.
+    Each row is judged by its own text, also where doc_ids repeat or are null. Null and empty
+    texts stay. An empty table stays empty.
     """
+    columns = docs.columns
+    docs, key = keyed(docs)
     # written first: Spark then knows its size, and shuffles the texts only if it is large
-    bad = written(contaminated(docs, benchmark).select("doc_id").distinct(), "bad")
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = contaminated(docs.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    bad = written(bad.select(F.col("doc_id").alias(key)).distinct(), "bad")
+    return docs.join(bad, key, "left_anti").select(*(f"`{c}`" for c in columns))

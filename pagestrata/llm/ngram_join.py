@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import bitmap, in_bitmap, released, small_batches, written
+from .store import bitmap, in_bitmap, keyed, released, small_batches, written
 from .words import mix, shingle_sets
 
 #: Cells of more members than this are moved to the end of the order.
@@ -538,11 +538,25 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its class; all columns stay.
+    """One row of each class of `docs`, that with the smallest doc_id; all columns stay.
 
-    A row with a null doc_id is kept; of rows that repeat a kept doc_id all are kept.
+    Rows are told apart where doc_ids repeat or are null: of a class, a row with an id goes
+    before one without, and of rows with the same doc_id the one that stays is chosen by a hash
+    of its text, then by its place in the table. Null, empty and wordless texts are in no class
+    and all stay. An empty table stays empty.
     """
-    found = ngram_components(docs, block)
+    columns = docs.columns
+    docs, key = keyed(docs)
+    found = ngram_components(docs.select(F.col(key).alias("doc_id"), "text"), block)
+    if key == "doc_id":
+        dropped = found.where("doc_id <> component_id").select(key)
+    else:
+        # min of a struct combines before it shuffles, so a class of many copies is no hot task
+        order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(key).alias("row"))
+        ranked = docs.select(F.col(key), order.alias("rank"))
+        classes = written(found.select(F.col("doc_id").alias(key), F.col("component_id").alias("class")).join(ranked, key), "classes")
+        kept = classes.groupBy("class").agg(F.min("rank").alias("first")).select(F.col("first.row").alias(key))
+        dropped = classes.select(key).join(kept, key, "left_anti")
     # written first: Spark then knows its size, and shuffles the texts only if it is large
-    dropped = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = written(dropped.distinct(), "dropped")
+    return docs.join(dropped, key, "left_anti").select(*(f"`{c}`" for c in columns))

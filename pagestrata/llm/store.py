@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` and the name of a column of longs that tells its rows apart: doc_id, or where
+    that is null or repeats anywhere, a number given to each row of a written copy."""
+    ids = docs.groupBy("doc_id").count()
+    if docs.schema["doc_id"].dataType.typeName() in ("integer", "long") and ids.where("doc_id IS NULL OR count > 1").isEmpty():
+        return docs, "doc_id"
+    row = f"row_{uuid.uuid4().hex}"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def removed(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -73,8 +73,20 @@ def test_components_of_hard_rows(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found) == brute_components([r[:2] for r in hard_rows()])
     kept = ngram_join.keep_first(hard(spark))
     assert kept.columns == hard(spark).columns
-    # equal sets leave their smallest doc_id (7 repeats 4); null doc_ids stay
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, None, 6, 8, 10, 11, 12, 13]))
+    # equal sets leave their smallest doc_id (7 and a null id repeat 4)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 6, 8, 10, 11, 12, 13]))
+
+
+def test_rows_with_the_same_id_are_judged_apart(spark):
+    one, two, item = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(1, one), (1, one), (1, two), (2, one + " end"), (3, item), (3, two + " end"), (None, one), (None, "alone"), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in ngram_join.keep_first(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (1, two), (3, item), (None, "alone"), (4, ""), (4, "")], key=str)
+    swapped = docs.select("text", "doc_id")
+    kept = decontamination.clean(swapped, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == ["text", "doc_id"]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((r for r in rows if r[1] != item), key=str)
 
 
 def test_sets_with_a_common_hash_stay_apart(spark, monkeypatch):

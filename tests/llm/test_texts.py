@@ -389,8 +389,6 @@ def test_personal_data_equals_brute_force(spark):
 
 def test_spans_equal_sql():
     """The parsers against the SQL's patterns over texts mixed from anchors, values and breaks."""
-    import random
-
     import duckdb
 
     from pagestrata.llm.oracles import ORACLE_SQL
