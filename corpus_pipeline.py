@@ -22,14 +22,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that with the smallest doc_id.
-    Null and empty texts and null doc_ids stay; rows that repeat a kept doc_id all stay."""
+    """One row of each class of near duplicates stays: that with the smallest doc_id, one with
+    an id before one without. Null and empty texts stay; rows that share a doc_id are told apart."""
     return ngram_join.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go, with rows that share their doc_id. Null
-    texts and null doc_ids stay."""
+    """Documents that overlap a benchmark item go; rows that share a doc_id are judged apart.
+    Null texts stay."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
